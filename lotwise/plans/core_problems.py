@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.operators import quantities
+from lotwise.operators import quantities, timestamps
+from lotwise.operators.nested import Child, shred
 from lotwise.sources.tables import read
 
 
@@ -35,5 +36,71 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def _deadlines(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, row_id, zone, readings) of all deadlines; ``zone`` is the local one of the buyer."""
+    zones = read(spark, folder, "country_codes").groupBy("country").agg(F.min("zone_name").alias("zone"))
+    notices = read(spark, folder, "notices").select("notice_row", "publication_number", "buyer_country", "deadline")
+    country = notices.groupBy("publication_number").agg(F.min("buyer_country").alias("buyer_country"))
+    lots = read(spark, folder, "lots").select("lot_row", "publication_number", "deadline_date", "deadline_time")
+    contracts = read(spark, folder, "contracts").select("record_id", "data_scadenza_offerta")
+    parts = [
+        notices.select(F.lit("notices").alias("src"), F.col("notice_row").alias("row_id"), "buyer_country", timestamps.readings(F.col("deadline")).alias("r")),
+        lots.select("lot_row", "publication_number", timestamps.readings(F.col("deadline_date"), F.col("deadline_time")).alias("r"))
+        .filter(F.size("r") > 0)
+        .join(country, "publication_number", "left")
+        .select(F.lit("lots").alias("src"), F.col("lot_row").alias("row_id"), "buyer_country", "r"),
+        contracts.select(F.lit("contracts").alias("src"), F.col("record_id").alias("row_id"), F.lit("ITA").alias("buyer_country"), timestamps.readings(F.col("data_scadenza_offerta")).alias("r")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.size("r") > 0)
+    return rows.join(F.broadcast(zones), F.col("buyer_country") == F.col("country"), "left").select("src", "row_id", "zone", "r")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """p2_found(src, row_id, utc_seconds): every row that fixes an instant."""
+    rows = _deadlines(spark, folder).select("src", "row_id", timestamps.as_instants(F.col("r"), F.col("zone")).alias("c"))
+    chosen = timestamps.choose(rows, "src", "row_id", "c")
+    return chosen.select("src", F.col("pos").alias("row_id"), F.col("at").alias("utc_seconds"))
+
+
+DOSSIER_CHILDREN = [
+    Child("organization", "organizations"),
+    Child("role", "roles", "organization", scalars=True),
+    Child("lot", "lots"),
+    Child("criterion", "criteria", "lot"),
+]
+
+
+def _dossier_children(spark: SparkSession, folder: str, raw: bool) -> DataFrame:
+    typed = read(spark, folder, "dossiers").select(
+        F.lit("dossiers").alias("src"), "dossier_id", F.to_json(F.struct("organizations", "lots"), {"ignoreNullFields": "false"}).alias("body")
+    )
+    text = read(spark, folder, "dossier_json").select(F.lit("dossier_json").alias("src"), "dossier_id", "body")
+    return shred(typed.unionByName(text), ["src", "dossier_id"], "body", DOSSIER_CHILDREN, raw)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """p3_found(src, dossier_id, child, parent_pos, pos): every child record of every dossier."""
+    return _dossier_children(spark, folder, raw=False)
+
+
+def p3_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The child records with the fields a reader joins on, whatever their keys' spelling."""
+    found = _dossier_children(spark, folder, raw=True)
+    field = lambda *names: F.coalesce(*[F.get_json_object("raw", f"$.{n}") for n in names])
+    record = F.col("child") != "role"
+    return found.select(
+        "src",
+        "dossier_id",
+        "child",
+        "parent_pos",
+        "pos",
+        F.when(record, field("id")).alias("id"),
+        F.when(record, field("name", "title")).otherwise(F.col("raw")).alias("label"),
+        F.when(F.col("child") == "organization", field("company_id", "companyId")).alias("company_id"),
+        F.when(F.col("child") == "lot", field("value")).alias("value"),
+        F.when(F.col("child") == "criterion", field("weight")).alias("weight"),
+    )
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_rows": p3_rows}
