@@ -77,6 +77,17 @@ def plain(text: str) -> str:
     return " ".join(re.sub(r"[^a-z0-9]+", " ", text).split())
 
 
+def deletions(word: str, most: int) -> set[str]:
+    """The word without up to ``most`` of its letters: near words share one of these."""
+    out, last = {word}, {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
+
+
+#: Deletions of a vocabulary's words, by the vocabulary.
+_INDEX: dict[int, dict[str, list[str]]] = {}
 #: Corrections already worked out in this process, by the vocabulary they depend on.
 _MEMO: dict[int, dict[str, str]] = {}
 
@@ -115,7 +126,14 @@ class Canon:
         return memo[word]
 
     def _corrected(self, word: str) -> str:
-        best = min(((distance(word, k, 2), k) for k in self.near if abs(len(k) - len(word)) <= 2), default=(9, ""))
+        if self.mark not in _INDEX:
+            index = _INDEX.setdefault(self.mark, {})
+            for k in self.near:
+                for d in deletions(k, 2):
+                    index.setdefault(d, []).append(k)
+        index = _INDEX[self.mark]
+        found = {k for d in deletions(word, 2) for k in index.get(d, ())}
+        best = min(((distance(word, k, 2), k) for k in found), default=(9, ""))
         return best[1] if best[1] in self.words and best[0] <= (1 if len(best[1]) < 7 else 2) else word
 
     def tokens(self, name: str) -> list[str]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import names
-from lotwise.sources.tables import read
+from lotwise.llm import mixing, names, packing, reading, tokens
+from lotwise.sources.tables import ensure_checkpoints, read
 
 
 def _typed_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,8 +28,44 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_links(spark, folder).select("src", "row_id", "buyer_id")
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens"))
+
+
+def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each document lies in containers of each capacity."""
+    return packing.pack(_sizes(spark, folder), "doc_id", "tokens", read(spark, folder, "container_sizes"), "container_id", "capacity_tokens")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(p7_bins(spark, folder), read(spark, folder, "container_sizes"), "container_id", "capacity_tokens")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each mix in training order."""
+    ensure_checkpoints(spark)
+    return mixing.mix(_sizes(spark, folder).checkpoint(), "doc_id", "source", "tokens", read(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share each source has of each mix, beside its target."""
+    return mixing.shares(p8_mix(spark, folder), read(spark, folder, "mix_targets"))
+
+
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The level of each document of at least 200 characters, with the two measures behind it."""
+    return reading.levels(read(spark, folder, "documents"), "doc_id", "text", "lang", read(spark, folder, "level_samples"), min_chars=200)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """p9_found(doc_id, level)."""
+    return p9_levels(spark, folder).select("doc_id", "level")
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_links": p6_links}
+    own = [p6_found, p6_links, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_levels]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
