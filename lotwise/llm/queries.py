@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import mixing, names, packing, reading, tokens
+from lotwise.llm import mixing, names, neardup, packing, reading, tokens
 from lotwise.sources.tables import ensure_checkpoints, read
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents").filter(F.length("text") >= 200).select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
+    criteria = read(spark, folder, "award_criteria").select(F.lit("award_criteria").alias("src"), F.col("crit_row").alias("id"), F.col("description").alias("text"))
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    return documents.unionByName(criteria.filter(words >= 20))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """p4_found(src, id_a, id_b): all pairs of texts that are versions of one another."""
+    ensure_checkpoints(spark)
+    return neardup.pairs(_texts(spark, folder))
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each text with its class of exact copies and the number of classes it is linked to."""
+    ensure_checkpoints(spark)
+    return neardup.classes(_texts(spark, folder))
+
+
 def _typed_names(spark: SparkSession, folder: str) -> DataFrame:
     parts = [("notices", "notice_row", "buyer_name"), ("organizations", "org_row", "name"), ("contracts", "record_id", "denominazione_amministrazione_appaltante")]
     out = None
@@ -64,7 +83,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p6_found, p6_links, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_levels]
+    own = [p4_found, p4_classes, p6_found, p6_links, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_levels]
     return {f.__name__: f for f in own}
 
 
