@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import mixing, names, neardup, packing, reading, tokens
+from lotwise.llm import linking, mixing, names, neardup, packing, reading, tokens
+from lotwise.operators import quantities
 from lotwise.sources.tables import ensure_checkpoints, read
 
 
@@ -28,6 +29,50 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(_texts(spark, folder))
 
 
+def _lot_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots of Italian buyers with the buyer's code and the value in euros."""
+    notices = read(spark, folder, "notices").groupBy("publication_number").agg(F.min("buyer_country").alias("buyer_country")).filter("buyer_country = 'ITA'")
+    buyers = read(spark, folder, "organizations").filter("org_id = 'ORG-0001'").groupBy("publication_number").agg(F.max("company_id").alias("code"))
+    lots = read(spark, folder, "lots").select("lot_row", "publication_number", "title", "value", "currency", "cpv", "deadline_date")
+    here = lots.join(notices, "publication_number").join(buyers, "publication_number", "left")
+    priced = here.withColumn("money", quantities.parsed_money(F.col("value"), F.col("currency")))
+    rates = read(spark, folder, "fx_rates").select("currency", "eur_per_unit")
+    unit = F.when(F.size("money.currencies") == 0, "EUR").otherwise(F.get("money.currencies", F.lit(0)))
+    euros = priced.drop("currency").withColumn("currency", unit).join(F.broadcast(rates), "currency", "left")
+    return euros.select(
+        F.col("lot_row").alias("id"),
+        "title",
+        "code",
+        (F.col("money.amount") * F.col("eur_per_unit")).alias("amount"),
+        F.get("cpv", F.lit(0)).alias("cpv"),
+        F.col("deadline_date").alias("date"),
+    )
+
+
+def _contract_records(spark: SparkSession, folder: str) -> DataFrame:
+    contracts = read(spark, folder, "contracts")
+    return contracts.select(
+        F.col("record_id").alias("id"),
+        F.coalesce("oggetto_lotto", "oggetto_gara").alias("title"),
+        F.col("cf_amministrazione_appaltante").alias("code"),
+        quantities.parsed_money(F.col("importo_lotto"))["amount"].alias("amount"),
+        F.col("cod_cpv").alias("cpv"),
+        F.col("data_scadenza_offerta").alias("date"),
+    )
+
+
+def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots and contracts that describe the same lot, with a confidence."""
+    ensure_checkpoints(spark)
+    found = linking.match(_lot_records(spark, folder), _contract_records(spark, folder))
+    return found.select(F.col("id_a").alias("lot_row"), F.col("id_b").alias("record_id"), "confidence")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """p5_found(lot_row, record_id)."""
+    return p5_matches(spark, folder).select("lot_row", "record_id")
+
+
 def _typed_names(spark: SparkSession, folder: str) -> DataFrame:
     parts = [("notices", "notice_row", "buyer_name"), ("organizations", "org_row", "name"), ("contracts", "record_id", "denominazione_amministrazione_appaltante")]
     out = None
@@ -83,7 +128,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p4_found, p4_classes, p6_found, p6_links, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_levels]
+    own = [p4_found, p4_classes, p5_found, p5_matches, p6_found, p6_links, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_levels]
     return {f.__name__: f for f in own}
 
 
