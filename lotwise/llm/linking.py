@@ -53,29 +53,41 @@ def title_words(text: str | None) -> tuple[list[str], list[str]]:
     return sorted({w.strip("-") for w in found if not any(c.isdigit() for c in w)} - _STOP - {""}), numbers
 
 
-def title_vector(text: str | None) -> list[int] | None:
-    """The title's chunks, or None for a title without words."""
+#: Bit masks of words and numbers already met in this process.
+_MASKS: dict[str, int] = {}
+
+
+def _mask(key: str) -> int:
+    """The bits of a word's q-grams, or behind # the bits of a number: one in each chunk."""
+    found = _MASKS.get(key)
+    if found is None:
+        found = 0
+        if key[0] == "#":
+            h = xxhash.xxh3_64_intdigest(key)
+            for k in range(CHUNKS):
+                found |= 1 << (k * WIDTH + (h >> (8 * k)) % WIDTH)
+        else:
+            padded = f"_{key}_"
+            for i in range(len(padded) - 1):
+                found |= 1 << (xxhash.xxh3_64_intdigest(padded[i : i + 2]) % (CHUNKS * WIDTH))
+        if len(_MASKS) > 500_000:
+            _MASKS.clear()
+        _MASKS[key] = found
+    return found
+
+
+def vectors(text: str | None) -> tuple[list[int] | None, int]:
+    """(the title's chunks, a bitmap of its numbers); no chunks for a title without words."""
     ws, numbers = title_words(text)
-    if not ws:
-        return None
-    chunks = [0] * CHUNKS
-    for w in ws:
-        padded = f"_{w}_"
-        for i in range(len(padded) - 1):
-            at = xxhash.xxh3_64_intdigest(padded[i : i + 2]) % (CHUNKS * WIDTH)
-            chunks[at // WIDTH] |= 1 << (at % WIDTH)
+    bits = 0
     for n in numbers:
-        h = xxhash.xxh3_64_intdigest("#" + n)
-        for k in range(CHUNKS):
-            chunks[k] |= 1 << ((h >> (8 * k)) % WIDTH)
-    return chunks
-
-
-def number_vector(text: str | None) -> int:
-    out = 0
-    for n in title_words(text)[1]:
-        out |= 1 << (xxhash.xxh3_64_intdigest("n" + n) % 63)
-    return out
+        bits |= 1 << (xxhash.xxh3_64_intdigest("n" + n) % 63)
+    if not ws:
+        return None, bits
+    whole = 0
+    for key in [*ws, *["#" + n for n in numbers]]:
+        whole |= _mask(key)
+    return [(whole >> (k * WIDTH)) & ((1 << WIDTH) - 1) for k in range(CHUNKS)], bits
 
 
 def code_digits(text: str | None, length: int = 11) -> str | None:
@@ -96,51 +108,40 @@ def day(text: str | None) -> int | None:
     return days[0][1] if days else None
 
 
-def _key(*parts) -> int:
-    return xxhash.xxh3_64_intdigest("|".join(map(str, parts))) - 2**63
+def buckets(around: bool) -> Column:
+    """The buckets an encoded record lies in; ``around``: those of amounts up to one step off as well."""
+    step = F.floor(F.log("amount") / _STEP)
+    steps = [step - 1, step, step + 1] if around else [step]
+    group = F.left("cpv", F.lit(3))
+    have = lambda value, *needed: F.when(sum((F.col(c).isNull().cast("int") for c in needed), F.lit(0)) == 0, value)
+    chunk = [F.get("title", F.lit(i)) for i in range(CHUNKS)]
+    out = []
+    for s in steps:
+        out.append(have(F.xxhash64(F.lit(1), "code", s, group), "code", "amount", "cpv"))
+        out.append(have(F.xxhash64(F.lit(5), s, "day", group), "amount", "day", "cpv"))
+        out += [have(F.xxhash64(F.lit(3), s, F.lit(i), c), "amount", "title") for i, c in enumerate(chunk)]
+    out += [have(F.xxhash64(F.lit(2), "code", F.lit(i), c), "code", "title") for i, c in enumerate(chunk)]
+    out += [have(F.xxhash64(F.lit(4), "day", F.lit(i), chunk[i], chunk[i + 1]), "day", "title") for i in range(0, CHUNKS, 2)]
+    return F.array_compact(F.array(*out))
 
 
-def keys(vector: list[int] | None, code: str | None, amount: float | None, cpv: str | None, when: int | None, around: bool) -> list[int]:
-    """The buckets a record lies in; ``around``: those of amounts up to one step off as well."""
-    out = []
-    buckets = []
-    if amount:
-        b = math.floor(math.log(amount) / _STEP)
-        buckets = [b - 1, b, b + 1] if around else [b]
-    if code and cpv:
-        out += [_key(1, code, b, cpv[:3]) for b in buckets]
-    if vector:
-        for i, c in enumerate(vector):
-            if code:
-                out.append(_key(2, code, i, c))
-            out += [_key(3, b, i, c) for b in buckets]
-        if when is not None:
-            out += [_key(4, when, i, *vector[i : i + 2]) for i in range(0, CHUNKS, 2)]
-    if when is not None and cpv:
-        out += [_key(5, b, when, cpv[:3]) for b in buckets]
-    return out
-
-
-_SCHEMA = "id bigint, title array<bigint>, numbers bigint, code string, amount double, cpv string, day int, keys array<bigint>"
-
-
-def encode(records: DataFrame, around: bool) -> DataFrame:
-    """Vectors and buckets of records (id, title, code, amount, cpv, date); any attribute may be null."""
+_SCHEMA = "id bigint, title array<bigint>, numbers bigint, code string, amount double, cpv string, day int"
+
+
+def encode(records: DataFrame) -> DataFrame:
+    """Vectors of records (id, title, code, amount, cpv, date); any attribute may be null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             rows = []
             days: dict[str, int | None] = {}
-            for r in frame.itertuples(index=False):
-                vector = title_vector(r.title)
-                code = code_digits(r.code)
-                amount = float(r.amount) if r.amount is not None and r.amount >= 1 else None
-                cpv = re.sub(r"\D", "", (r.cpv or "").split("-")[0])[:8] or None
-                if r.date not in days:
-                    days[r.date] = day(r.date)
-                when = days[r.date]
-                rows.append((r.id, vector, number_vector(r.title), code, amount, cpv, when, keys(vector, code, amount, cpv, when, around)))
-            out = pd.DataFrame(rows, columns=["id", "title", "numbers", "code", "amount", "cpv", "day", "keys"])
+            for ident, title, code, amount, cpv, date in zip(*(frame[c] for c in ("id", "title", "code", "amount", "cpv", "date")), strict=True):
+                if date not in days:
+                    days[date] = day(date)
+                chunks, numbers = vectors(title)
+                group = re.sub(r"\D", "", (cpv or "").split("-")[0])[:8] or None
+                rows.append((ident, chunks, numbers, code_digits(code), amount if amount and amount >= 1 else None, group, days[date]))
+            out = pd.DataFrame(rows, columns=["id", "title", "numbers", "code", "amount", "cpv", "day"])
             out["day"] = out["day"].astype("Int32")
             yield out
 
@@ -228,10 +229,9 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
     too poor to lie in any bucket matches nothing. Repeated rows match as often as they occur.
     Extra columns are not used.
     """
-    a, b = encode(left, around=True), encode(right, around=False)
-    a, b = a.checkpoint(), b.checkpoint()
-    ka = a.select(F.col("id").alias("id_a"), F.explode("keys").alias("key"))
-    kb = b.select(F.col("id").alias("id_b"), F.explode("keys").alias("key"))
+    a, b = encode(left).checkpoint(), encode(right).checkpoint()
+    ka = a.select(F.col("id").alias("id_a"), F.explode(buckets(around=True)).alias("key"))
+    kb = b.select(F.col("id").alias("id_b"), F.explode(buckets(around=False)).alias("key"))
     met = ka.join(kb, "key").select("id_a", "id_b").distinct()
     fields = ["title", "numbers", "code", "amount", "cpv", "day"]
     pairs = met.join(a.select(F.col("id").alias("id_a"), *[F.col(f).alias(f"{f}_a") for f in fields]), "id_a").join(
