@@ -43,8 +43,8 @@ def invert(done: Column, knots: Column, weights: Column) -> Column:
     def step(state: Column, p: Column) -> Column:
         rest, found = state["rest"], state["at"]
         a, b = p["dw"] / 2, p["w"]
-        x = F.greatest(rest, F.lit(0.0)) / p["dt"]  # of the piece, with time from 0 to 1
-        root = F.when(F.abs(a) < 1e-12, x / b).otherwise(2 * x / (b + F.sqrt(F.greatest(b * b + 4 * a * x, F.lit(0.0)))))
+        x = F.try_divide(F.greatest(rest, F.lit(0.0)), p["dt"])  # of the piece, with time from 0 to 1
+        root = F.when(F.abs(a) < 1e-12, F.try_divide(x, b)).otherwise(F.try_divide(2 * x, b + F.sqrt(F.greatest(b * b + 4 * a * x, F.lit(0.0)))))
         here = p["t"] + p["dt"] * F.least(F.coalesce(root, F.lit(0.0)), F.lit(1.0))
         inside = found.isNull() & (rest <= area(p))
         return F.struct((rest - area(p)).alias("rest"), F.when(inside, here).otherwise(found).alias("at"))

@@ -66,7 +66,7 @@ def link(names: DataFrame, name: str, register: DataFrame, entry: str, official:
     rare = naming.idf(total, 1) if total else 1.0
 
     # tokens of the register by rarity: the grams of an alphabet of 38 signs are at most 1444
-    gram_of = F.udf(naming.grams, _WORDS)
+    gram_of = F.udf(lambda t: naming.grams(t), _WORDS)
     order = {r.gram: r.n for r in counts.select(F.explode(gram_of("known")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
 
     distinct = rows.filter(F.col("__canon") != "").select("__canon").distinct()
