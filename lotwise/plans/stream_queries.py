@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.sources.tables import read
+from lotwise.sources.tables import read, shared_folder
 from lotwise.streaming import ingest
 
 
@@ -15,7 +15,10 @@ def stream_event_counts(spark: SparkSession, folder: str) -> DataFrame:
     schema = read(spark, folder, "events").schema
     counted = ingest.event_counts(ingest.landing(spark, folder, schema, "events.parquet"))
     name = f"event_counts_{uuid.uuid4().hex}"
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    writer = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    if shared := shared_folder(spark):  # the state must lie where all executors reach it
+        writer = writer.option("checkpointLocation", f"{shared}/{name}")
+    writer.start().awaitTermination()
     return spark.table(name)
 
 
