@@ -4,10 +4,11 @@ Attributes are encoded as fixed bit vectors: the title's token q-grams in ``CHUN
 ``WIDTH`` bits, every number of the title setting a bit in each chunk (numbers tell lots apart), the
 buyer's code and the category digit by digit. Close titles are found exactly by multi-index hashing:
 vectors at a Hamming distance below ``CHUNKS`` agree in a whole chunk. A chunk is looked up together
-with one more attribute (code, or amount within about 1 %, or two chunks with the day), code and
-amount, or amount and day, with the category, so that buckets stay small however many records one buyer has. The Dice similarities of the pairs found
-are reduced to levels, and a two-class mixture fitted by EM to the counts of level patterns over all
-pairs gives each field's weight and each pattern's probability of being a match.
+with the code or the amount (within about 1 %), two chunks with the day; two of code, amount, day
+and category together, and titles that name one thing, find the rest. So buckets stay small however
+many records one buyer has. The Dice similarities of the pairs found are reduced to levels, and a
+two-class mixture fitted by EM to the counts of level patterns over all pairs gives each field's
+weight and each pattern's probability of being a match.
 """
 
 from __future__ import annotations
@@ -76,18 +77,23 @@ def _mask(key: str) -> int:
     return found
 
 
-def vectors(text: str | None) -> tuple[list[int] | None, int]:
-    """(the title's chunks, a bitmap of its numbers); no chunks for a title without words."""
+def vectors(text: str | None) -> tuple[list[int] | None, int, int | None]:
+    """(the title's chunks, a bitmap of its numbers, the whole of a title that names one thing).
+
+    No chunks for a title without words; the whole only where a number has four signs or more.
+    """
     ws, numbers = title_words(text)
     bits = 0
     for n in numbers:
         bits |= 1 << (xxhash.xxh3_64_intdigest("n" + n) % 63)
     if not ws:
-        return None, bits
-    whole = 0
+        return None, bits, None
+    joined = 0
     for key in [*ws, *["#" + n for n in numbers]]:
-        whole |= _mask(key)
-    return [(whole >> (k * WIDTH)) & ((1 << WIDTH) - 1) for k in range(CHUNKS)], bits
+        joined |= _mask(key)
+    only = any(len(n) >= 4 and not n.startswith("lot") for n in numbers)
+    whole = xxhash.xxh3_64_intdigest(" ".join([*ws, *numbers])) - 2**63 if only else None
+    return [(joined >> (k * WIDTH)) & ((1 << WIDTH) - 1) for k in range(CHUNKS)], bits, whole
 
 
 def code_digits(text: str | None, length: int = 11) -> str | None:
@@ -119,13 +125,15 @@ def buckets(around: bool) -> Column:
     for s in steps:
         out.append(have(F.xxhash64(F.lit(1), "code", s, group), "code", "amount", "cpv"))
         out.append(have(F.xxhash64(F.lit(5), s, "day", group), "amount", "day", "cpv"))
+        out.append(have(F.xxhash64(F.lit(6), s, "day", "code"), "amount", "day", "code"))
         out += [have(F.xxhash64(F.lit(3), s, F.lit(i), c), "amount", "title") for i, c in enumerate(chunk)]
     out += [have(F.xxhash64(F.lit(2), "code", F.lit(i), c), "code", "title") for i, c in enumerate(chunk)]
+    out.append(have(F.xxhash64(F.lit(7), "whole"), "whole"))
     out += [have(F.xxhash64(F.lit(4), "day", F.lit(i), chunk[i], chunk[i + 1]), "day", "title") for i in range(0, CHUNKS, 2)]
     return F.array_compact(F.array(*out))
 
 
-_SCHEMA = "id bigint, title array<bigint>, numbers bigint, code string, amount double, cpv string, day int"
+_SCHEMA = "id bigint, title array<bigint>, numbers bigint, whole bigint, code string, amount double, cpv string, day int"
 
 
 def encode(records: DataFrame) -> DataFrame:
@@ -138,11 +146,11 @@ def encode(records: DataFrame) -> DataFrame:
             for ident, title, code, amount, cpv, date in zip(*(frame[c] for c in ("id", "title", "code", "amount", "cpv", "date")), strict=True):
                 if date not in days:
                     days[date] = day(date)
-                chunks, numbers = vectors(title)
+                chunks, numbers, whole = vectors(title)
                 group = re.sub(r"\D", "", (cpv or "").split("-")[0])[:8] or None
-                rows.append((ident, chunks, numbers, code_digits(code), amount if amount and amount >= 1 else None, group, days[date]))
-            out = pd.DataFrame(rows, columns=["id", "title", "numbers", "code", "amount", "cpv", "day"])
-            out["day"] = out["day"].astype("Int32")
+                rows.append((ident, chunks, numbers, whole, code_digits(code), amount if amount and amount >= 1 else None, group, days[date]))
+            out = pd.DataFrame(rows, columns=["id", "title", "numbers", "whole", "code", "amount", "cpv", "day"])
+            out["day"], out["whole"] = out["day"].astype("Int32"), pd.array([r[3] for r in rows], dtype="Int64")
             yield out
 
     return records.select("id", "title", "code", "amount", "cpv", "date").mapInPandas(run, _SCHEMA)
@@ -160,6 +168,13 @@ def _dice_chunks(a: Column, b: Column) -> Column:
     return 2 * same / (count(a) + count(b))
 
 
+def _inside(a: str, b: str) -> Column:
+    """The share of the smaller vector's bits that the larger has."""
+    bits = lambda f: sum((f(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(1, CHUNKS)), f(F.get(a, F.lit(0)), F.get(b, F.lit(0))))
+    fewer = F.least(bits(lambda x, _: F.bit_count(x)), bits(lambda _, y: F.bit_count(y)))
+    return F.try_divide(bits(lambda x, y: F.bit_count(x.bitwiseAND(y))), fewer)
+
+
 def _dice_digits(a: Column, b: Column, length: int) -> Column:
     """The share of places with equal digits: the Dice similarity of place-and-digit vectors."""
     same = sum((F.when(F.substring(a, i, 1) == F.substring(b, i, 1), 1).otherwise(0) for i in range(2, length + 1)), F.when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 1).otherwise(0))
@@ -179,13 +194,19 @@ BOUNDS = {"title": [0.6, 0.75, 0.88, 0.97], "numbers": [0.3, 0.7, 0.999], "code"
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """Pairs of encoded records (columns ending in _a and _b) with the similarity of each field."""
-    title = F.when(F.col("title_a").isNotNull() & F.col("title_b").isNotNull(), _dice_chunks(F.col("title_a"), F.col("title_b")))
-    numbers = F.when(F.col("title_a").isNotNull() & F.col("title_b").isNotNull(), _dice(F.col("numbers_a"), F.col("numbers_b")))
+    """Pairs of encoded records (columns ending in _a and _b) with the similarity of each field.
+
+    Days agree up to one, as one of them may be of another zone.
+    """
+    both = F.col("title_a").isNotNull() & F.col("title_b").isNotNull()
+    # a title without numbers that lies within the other names a kind of thing, not a lot: it says nothing
+    bare = ((F.col("numbers_a") == 0) != (F.col("numbers_b") == 0)) & (_inside("title_a", "title_b") >= 0.95)
+    title = F.when(both & ~bare, _dice_chunks(F.col("title_a"), F.col("title_b")))
+    numbers = F.when(both & (F.col("numbers_a") != 0) & (F.col("numbers_b") != 0), _dice(F.col("numbers_a"), F.col("numbers_b")))
     near = F.least("amount_a", "amount_b") / F.greatest("amount_a", "amount_b")
     amount = F.when(F.col("amount_a").isNotNull() & F.col("amount_b").isNotNull(), near)
     cpv = F.when(F.col("cpv_a").isNotNull() & F.col("cpv_b").isNotNull(), _dice_digits(F.substring("cpv_a", 1, 3), F.substring("cpv_b", 1, 3), 3))
-    when = F.when(F.col("day_a").isNotNull() & F.col("day_b").isNotNull(), F.when(F.col("day_a") == F.col("day_b"), 1.0).otherwise(0.0))
+    when = F.when(F.col("day_a").isNotNull() & F.col("day_b").isNotNull(), F.when(F.abs(F.col("day_a") - F.col("day_b")) <= 1, 1.0).otherwise(0.0))
     found = {"title": title, "numbers": numbers, "code": _dice_digits(F.col("code_a"), F.col("code_b"), 11), "amount": amount, "cpv": cpv, "day": when}
     return pairs.select("id_a", "id_b", *[v.cast("double").alias(k) for k, v in found.items()])
 
@@ -215,6 +236,8 @@ def calibrate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) ->
                 at = x[:, f] == level
                 m[level] += (n * match)[at].sum()
                 u[level] += (n * (1 - match))[at].sum()
+            if f == "amount":
+                m[0] = min(m[0], 1e-4 * m.sum())  # one lot has one amount: only its writing differs
             table = np.log(m / m.sum()) - np.log(u / u.sum())
             tables.append(table)
             logs += np.where(x[:, f] >= 0, table[np.maximum(x[:, f], 0)], 0.0)
