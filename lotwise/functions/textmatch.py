@@ -133,11 +133,16 @@ class LanguageMatcher:
 
     def find(self, text: Column, lang: Column) -> Column:
         """The leftmost hit, or null: struct<term, start, end, pair>."""
-        s, low = self.spec, fold(text)
-        return F.coalesce(
-            self._by_language(lang, lambda n: _term_hit(low, _of(s.terms, n))),
-            self._by_language(lang, lambda n: _pair_hit(low, _of(s.near_a, n), _of(s.near_b, n), s.window)),
-        )
+        s = self.spec
+
+        def hit(low: Column) -> Column:
+            return F.coalesce(
+                self._by_language(lang, lambda n: _term_hit(low, _of(s.terms, n))),
+                self._by_language(lang, lambda n: _pair_hit(low, _of(s.near_a, n), _of(s.near_b, n), s.window)),
+            )
+
+        # bound in a lambda, the text is folded once and not for each term
+        return F.get(F.transform(F.array(fold(text)), hit), F.lit(0))
 
     def covers(self, lang: Column) -> Column:
         """Whether a language was searched at all; a text without one always is."""
