@@ -76,10 +76,11 @@ def scan_tenders(notice_xmls: DataFrame, matcher, most: int = scan.MATCHES) -> t
     key = "publication_number"
     content = notice_xml.shred(notice_xmls, key, "xml", "content")
     grid = content.select(key, F.posexplode("criteria").alias("seq", "c"))
-    criteria = grid.select(key, "seq", F.col("c.lang").alias("lang"), textmatch.truncate(F.trim(F.concat_ws(" ", "c.name", "c.description")), scan.CRITERION).alias("text"))
+    criteria = grid.select(key, "seq", F.col("c.lang").alias("lang"), F.trim(F.concat_ws(" ", "c.name", "c.description")).alias("text"))
     described = content.select(key, F.col("language").alias("lang"), F.posexplode("descriptions").alias("seq", "text")).select(key, F.lit(2).alias("tier"), "seq", "lang", "text")
     texts = content.select(key, F.posexplode("texts").alias("seq", "t")).select(key, F.lit(3).alias("tier"), "seq", F.col("t.lang").alias("lang"), F.col("t.text").alias("text"))
-    matches = scan.notices(criteria, described.unionByName(texts), matcher, key, most)
+    # whole criteria are searched and cover other texts; only what is shown is cut
+    matches = scan.notices(criteria, described.unionByName(texts), matcher, key, most).withColumn("snippet", F.when(F.col("tier") == 1, textmatch.truncate(F.col("snippet"), scan.CRITERION)).otherwise(F.col("snippet")))
     hits = matches.groupBy(key).agg(F.count("*").alias("matches"))
     notices = content.select(key, "language", (F.size("criteria") > 0).alias("criteria_published"), "failure").join(hits, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     return matches, notices, scan.uncovered(content.filter("failure is null"), matcher, "language")

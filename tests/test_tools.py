@@ -26,6 +26,16 @@ def test_scanning_notices(spark):
     assert tools.get_tender_dossier(df, ["2", "9"]).first().procedure_type == ""
 
 
+def test_scanning_whole_criteria(spark):
+    long = "Qualità del servizio. " * 40 + "Premio per la posa notturna."
+    xml = f"<n:Notice xmlns:n='u'><c:NoticeLanguageCode>ita</c:NoticeLanguageCode><AwardingCriterion><SubordinateAwardingCriterion><Description languageID='ITA'>{long}</Description></SubordinateAwardingCriterion></AwardingCriterion></n:Notice>"
+    df = spark.createDataFrame([("1", xml)], "publication_number string, xml string")
+    rows = tools.scan_tenders(df, M.matcher({"ITA": ["posa"]}))[0].collect()
+    assert [(r.tier, r.term) for r in rows] == [(1, "posa")] and "posa notturna" in rows[0].snippet and len(rows[0].snippet) <= 501
+    apart = M.matcher({"ITA": ["qualità", "posa"]}), M.matcher({"ITA": ["notturna"]})
+    assert [[r.tier for r in tools.scan_tenders(df, m)[0].collect()] for m in apart] == [[1], [1]]
+
+
 def test_lookup_notes(spark):
     df = spark.createDataFrame([("a", "1", "5", "5", "34")], "cig string, cf_amministrazione_appaltante string, importo_lotto string, importo_complessivo_gara string, cod_cpv string")
     note = lambda *a: tools.lookup_contracts(df, *a)[1].first().note
