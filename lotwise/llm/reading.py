@@ -84,8 +84,7 @@ def language(declared: str | None, words: list[str], lists: dict[str, frozenset[
     code = (declared or "").strip().lower()[:2]
     if code in lists:
         return code
-    few = words[:2000] if len(words) > 2000 else words
-    return max(sorted(lists), key=lambda k: sum(w in lists[k] for w in few))
+    return max(sorted(lists), key=lambda k: sum(w in lists[k] for w in words))
 
 
 def ease(length: float, limit: float) -> int:
