@@ -49,6 +49,23 @@ def smallest(texts: list[str], size: int, hashes: Hashes) -> list[tuple[bytes, i
 
     A text without words has none. All texts' shingles are hashed and sorted together.
     """
+    return sketched(texts, size, hashes)[0]
+
+
+def parities(flat: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+    """Four 64-bit words a text: whether an odd number of its words falls on each of 256 bits.
+
+    Two texts differ in no more bits than their bags of words in words. Zero for texts of more than ``most`` words.
+    """
+    short = lengths <= most
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    at = owner * 256 + ((flat >> np.uint64(20)) & np.uint64(255)).astype(np.int64)
+    odd = np.bincount(at[short[owner]], minlength=256 * len(lengths)).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(-1, 4)
+
+
+def sketched(texts: list[str], size: int, hashes: Hashes) -> tuple[list[tuple[bytes, int, np.ndarray]], np.ndarray, np.ndarray]:
+    """What ``smallest`` gives; beside it the hashes of all texts' words, and the number of each text's."""
     split = [words(t) for t in texts]
     lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     digests = [xxhash.xxh3_128_digest(" ".join(w)) for w in split]
@@ -79,4 +96,4 @@ def smallest(texts: list[str], size: int, hashes: Hashes) -> list[tuple[bytes, i
         if len(own) < size and many[i] > 4 * size:
             own = np.unique(all_hashes[starts[i] : starts[i] + many[i]])
         out.append(own[:size])
-    return [(d, int(n), s) for d, n, s in zip(digests, lengths, out, strict=True)]
+    return [(d, int(n), s) for d, n, s in zip(digests, lengths, out, strict=True)], flat, lengths
