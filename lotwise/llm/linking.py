@@ -115,21 +115,22 @@ def day(text: str | None) -> int | None:
 
 
 def buckets(around: bool) -> Column:
-    """The buckets an encoded record lies in; ``around``: those of amounts up to one step off as well."""
+    """The buckets an encoded record lies in; ``around``: those of amounts up to one step and days up to one off as well."""
     step = F.floor(F.log("amount") / _STEP)
     steps = [step - 1, step, step + 1] if around else [step]
+    days = [F.col("day") - 1, F.col("day"), F.col("day") + 1] if around else [F.col("day")]
     group = F.left("cpv", F.lit(3))
     have = lambda value, *needed: F.when(sum((F.col(c).isNull().cast("int") for c in needed), F.lit(0)) == 0, value)
     chunk = [F.get("title", F.lit(i)) for i in range(CHUNKS)]
     out = []
     for s in steps:
         out.append(have(F.xxhash64(F.lit(1), "code", s, group), "code", "amount", "cpv"))
-        out.append(have(F.xxhash64(F.lit(5), s, "day", group), "amount", "day", "cpv"))
-        out.append(have(F.xxhash64(F.lit(6), s, "day", "code"), "amount", "day", "code"))
+        out += [have(F.xxhash64(F.lit(5), s, d, group), "amount", "day", "cpv") for d in days]
+        out += [have(F.xxhash64(F.lit(6), s, d, "code"), "amount", "day", "code") for d in days]
         out += [have(F.xxhash64(F.lit(3), s, F.lit(i), c), "amount", "title") for i, c in enumerate(chunk)]
     out += [have(F.xxhash64(F.lit(2), "code", F.lit(i), c), "code", "title") for i, c in enumerate(chunk)]
     out.append(have(F.xxhash64(F.lit(7), "whole"), "whole"))
-    out += [have(F.xxhash64(F.lit(4), "day", F.lit(i), chunk[i], chunk[i + 1]), "day", "title") for i in range(0, CHUNKS, 2)]
+    out += [have(F.xxhash64(F.lit(4), d, F.lit(i), chunk[i], chunk[i + 1]), "day", "title") for i in range(0, CHUNKS, 2) for d in days]
     return F.array_compact(F.array(*out))
 
 
