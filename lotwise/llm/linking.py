@@ -78,9 +78,9 @@ def _mask(key: str) -> int:
 
 
 def vectors(text: str | None) -> tuple[list[int] | None, int, int | None]:
-    """(the title's chunks, a bitmap of its numbers, the whole of a title that names one thing).
+    """(the title's chunks, a bitmap of its numbers, the whole of a title that may name one thing).
 
-    No chunks for a title without words; the whole only where a number has four signs or more.
+    No chunks for a title without words; the whole only where it has a number or three words or more.
     """
     ws, numbers = title_words(text)
     bits = 0
@@ -91,7 +91,7 @@ def vectors(text: str | None) -> tuple[list[int] | None, int, int | None]:
     joined = 0
     for key in [*ws, *["#" + n for n in numbers]]:
         joined |= _mask(key)
-    only = any(len(n) >= 4 and not n.startswith("lot") for n in numbers)
+    only = any(not n.startswith("lot") for n in numbers) or len(ws) >= 3
     whole = xxhash.xxh3_64_intdigest(" ".join([*ws, *numbers])) - 2**63 if only else None
     return [(joined >> (k * WIDTH)) & ((1 << WIDTH) - 1) for k in range(CHUNKS)], bits, whole
 
