@@ -118,8 +118,11 @@ def dates(text: str, day_first: bool | None = True) -> list[tuple[str, int]]:
     elif found := _DIGITS.fullmatch(text):
         v = found.group(1)
         out.append(("ymd8", _days(int(v[:4]), int(v[4:6]), int(v[6:]))))
-        if out[-1][1] is None or day_first is None:
-            out.append(("dmy8", _days(int(v[4:]), int(v[2:4]), int(v[:2]))))
+        other = _days(int(v[4:]), int(v[2:4]), int(v[:2]))
+        if out[-1][1] is None:
+            out.append(("dmy8", other))
+        elif day_first is None:
+            out.append(("alt-dmy8", other))
     elif found := _DAY_NAMED.fullmatch(low):
         y = int(found.group(3))
         out.append(("d-name-y", _days(2000 + y if y < 100 else y, _MONTH_OF[found.group(2)], int(found.group(1)))))

@@ -36,6 +36,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+#: What a reading costs that the sources' rules exclude: all-numeric dates have the day first unless they begin
+#: with the year, and times without a zone are local. Saying nothing costs less than breaking a rule, and
+#: either more than all that a record can spare its neighbours (two changes of format, two jumps back).
+BROKEN_RULE, NOTHING = 12.0, 6.0
+UNLIKELY = {"mdy": BROKEN_RULE, "y2md": BROKEN_RULE, "alt-": BROKEN_RULE}
+
+
 def _deadlines(spark: SparkSession, folder: str) -> DataFrame:
     """(src, row_id, zone, readings) of all deadlines; ``zone`` is the local one of the buyer."""
     zones = read(spark, folder, "country_codes").groupBy("country").agg(F.min("zone_name").alias("zone"))
@@ -44,21 +51,23 @@ def _deadlines(spark: SparkSession, folder: str) -> DataFrame:
     lots = read(spark, folder, "lots").select("lot_row", "publication_number", "deadline_date", "deadline_time")
     contracts = read(spark, folder, "contracts").select("record_id", "data_scadenza_offerta")
     parts = [
-        notices.select(F.lit("notices").alias("src"), F.col("notice_row").alias("row_id"), "buyer_country", timestamps.readings(F.col("deadline")).alias("r")),
-        lots.select("lot_row", "publication_number", timestamps.readings(F.col("deadline_date"), F.col("deadline_time")).alias("r"))
-        .filter(F.size("r") > 0)
+        notices.select(F.lit("notices").alias("src"), F.col("notice_row").alias("row_id"), "buyer_country", timestamps.readings(F.col("deadline"), unlikely=UNLIKELY).alias("r")),
+        lots.select("lot_row", "publication_number", timestamps.readings(F.col("deadline_date"), F.col("deadline_time"), unlikely=UNLIKELY).alias("r"))
         .join(country, "publication_number", "left")
         .select(F.lit("lots").alias("src"), F.col("lot_row").alias("row_id"), "buyer_country", "r"),
-        contracts.select(F.lit("contracts").alias("src"), F.col("record_id").alias("row_id"), F.lit("ITA").alias("buyer_country"), timestamps.readings(F.col("data_scadenza_offerta")).alias("r")),
+        contracts.select(F.lit("contracts").alias("src"), F.col("record_id").alias("row_id"), F.lit("ITA").alias("buyer_country"), timestamps.readings(F.col("data_scadenza_offerta"), unlikely=UNLIKELY).alias("r")),
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.size("r") > 0)
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.join(F.broadcast(zones), F.col("buyer_country") == F.col("country"), "left").select("src", "row_id", "zone", "r")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """p2_found(src, row_id, utc_seconds): every row that fixes an instant."""
-    rows = _deadlines(spark, folder).select("src", "row_id", timestamps.as_instants(F.col("r"), F.col("zone")).alias("c"))
-    chosen = timestamps.choose(rows, "src", "row_id", "c")
+    rows = _deadlines(spark, folder).select("src", "row_id", timestamps.as_instants(F.col("r"), F.col("zone"), BROKEN_RULE).alias("c"))
+    keys = {"notices": "notice_row", "lots": "lot_row", "contracts": "record_id"}
+    ends = [read(spark, folder, t).agg(F.min(k), F.max(k)).first() for t, k in keys.items()]  # told by the files' statistics
+    span = max((last - first for first, last in ends if first is not None), default=0)
+    chosen = timestamps.choose(rows, "src", "row_id", "c", none=NOTHING, span=span)
     return chosen.select("src", F.col("pos").alias("row_id"), F.col("at").alias("utc_seconds"))
 
 
