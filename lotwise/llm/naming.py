@@ -7,36 +7,8 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-# The official kinds of public bodies, each with what people write for it.
-KINDS = {
-    "azienda sanitaria locale": "asl; sanita locale; az san locale; azienda san locale; asl servizio sanitario",
-    "azienda ospedaliera": "ao; az osp; az ospedaliera; ospedale; policlinico",
-    "provincia": "prov; provcia; ente provincia; amministrazione provinciale; amm provinciale",
-    "istituto comprensivo": "ic; ist compr; ist comprensivo; scuola comprensiva; plesso scolastico",
-    "comune": "cne; comne; citta; municipio; amministrazione comunale; amm comunale",
-    "consorzio bonifica": "cb; cons bonifica; bonifica; ente bonifica",
-    "universita studi": "univ studi; univ; universita; ateneo",
-    "municipality": "munic; mun; city council; town hall",
-    "water utility": "wu; water util; waterworks",
-    "regional hospital": "rh; reg hosp; hospital; general hospital",
-    "stadt": "stadtverw; st; stadtverwaltung; magistrat stadt",
-    "landkreis": "lk; lkr; landratsamt; kreisverwaltung",
-    "universitatsklinikum": "klinikum universitat; univ klinikum; univklinikum; uk; uniklinik",
-    "commune": "mairie; ville; com",
-    "centre hospitalier": "ch; ctre hosp; hopital",
-    "departement": "conseil departemental; dpt; dept",
-}
-# Units within a body, which name no other body.
-UNITS = (
-    "servizio acquisti; ufficio gare; uo provveditorato; area tecnica; settore lavori pubblici; servizio sanitario; "
-    "procurement unit; technical department; purchasing; pole achats; service marches; direction technique; "
-    "vergabestelle; zentraler einkauf; amt fur hochbau"
-)
 # Words that carry no meaning of their own in a name.
 FILLERS = frozenset("di de del della dei degli des du la le il al of the der die das von d i f fo id il and e".split())
-#: Short forms of words in place names.
-SHORT = {"sta": "santa", "sto": "santo", "ste": "sainte"}
-
 
 def distance(a: str, b: str, most: int = 3) -> int:
     """Edits between two words, a swap of neighbours counting one; ``most + 1`` beyond ``most``."""
@@ -96,20 +68,18 @@ _MEMO: dict[int, dict[str, str]] = {}
 class Canon:
     """Rewrites names: typing errors in known words, then what people write for a kind.
 
-    ``kinds``: official words -> variants, ``units``: phrases that are left out, ``kept``: words,
-    as of a register's own names, that no word near to them is taken for an error of.
+    ``kinds``: the official words of each known phrase (as tuples of words), ``units``: phrases that
+    are left out, ``kept``: words, as of a register's own names, that no word near to them is taken
+    for an error of.
     """
 
-    kinds: dict[str, str] = field(default_factory=lambda: KINDS)
-    units: str = UNITS
+    kinds: dict[tuple[str, ...], tuple[str, ...]] = field(default_factory=dict)
+    units: list[tuple[str, ...]] = field(default_factory=list)
     kept: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
-        content = lambda s: tuple(w for w in s.split() if w not in FILLERS)
-        pairs = [(content(v), content(k)) for k, vs in self.kinds.items() for v in [*vs.split("; "), k]]
-        pairs += [(content(u), ()) for u in self.units.split("; ")]
-        self.rules = {a: b for a, b in pairs}
-        self.longest = max(len(a) for a in self.rules)
+        self.rules = self.kinds | {u: () for u in self.units}
+        self.longest = max((len(a) for a in self.rules), default=1)
         self.known = sorted({w for a in [*self.rules, FILLERS] for w in a if len(w) >= 5})
         self.words = {w for a in [*self.rules, FILLERS] for w in a}
         self.near = sorted({w for w in self.kept if len(w) >= 4} | set(self.known))
@@ -138,7 +108,7 @@ class Canon:
 
     def tokens(self, name: str) -> list[str]:
         """The sorted distinct tokens of a name; none for null and empty names."""
-        words = [w for x in plain(name).split() if (w := self._correct(SHORT.get(x, x))) not in FILLERS]
+        words = [w for x in plain(name).split() if (w := self._correct(x)) not in FILLERS]
         out: list[str] = []
         i = 0
         while i < len(words):
@@ -165,14 +135,23 @@ def alike(a: str, b: str) -> float:
     return 1.0 - 0.5 * d / len(longer) if d <= allowed(longer) else 0.0
 
 
-def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], rare: float) -> float:
+def shortens(short: str, word: str) -> bool:
+    """Whether a word of two letters or more is another with letters left out behind the first."""
+    if not 2 <= len(short) < len(word) or short[0] != word[0]:
+        return False
+    letters = iter(word)
+    return all(c in letters for c in short)
+
+
+def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], rare: float, common: frozenset[str] = frozenset()) -> float:
     """Weighted Dice over softly equal tokens, each paired once, best pairs first.
 
     ``weight``: of a token, ``rare`` for tokens it lacks (1 if of three letters or less, most often
-    a particle with an error); a pair weighs as its second token.
+    a particle with an error); a pair weighs as its second token. A token of ``common`` may be shortened.
     """
     of = lambda t: weight.get(t, rare if len(t) > 3 else 1.0)
-    pairs = sorted(((s, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := alike(x, y)) > 0), key=lambda p: (-p[0], p[1], p[2]))
+    same = lambda x, y: alike(x, y) or (0.9 if y in common and len(x) <= 4 and shortens(x, y) else 0.0)
+    pairs = sorted(((s, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := same(x, y)) > 0), key=lambda p: (-p[0], p[1], p[2]))
     left, right, both, own = set(range(len(a))), set(range(len(b))), 0.0, 0.0
     for s, i, j in pairs:
         if i in left and j in right:
@@ -186,17 +165,3 @@ def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], rare:
 
 def idf(n: int, df: int) -> float:
     return math.log(1 + n / df)
-
-
-def grams(token: str) -> list[str]:
-    padded = f"^{token}$"
-    return sorted({padded[i : i + 2] for i in range(len(padded) - 1)})
-
-
-def prefix(token: str, df: dict[str, int]) -> list[str]:
-    """The rarest grams of a token, so many that any token within its typing errors shares one.
-
-    An edit spoils at most three of the grams (a swap of neighbours), hence three an edit and one.
-    """
-    ordered = sorted(grams(token), key=lambda g: (df.get(g, 0), g))
-    return ordered[: 3 * allowed(token) + 1]

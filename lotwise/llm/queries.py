@@ -84,7 +84,8 @@ def _typed_names(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_links(spark: SparkSession, folder: str) -> DataFrame:
     """Every row whose name means a registered buyer, with the similarity of the names."""
-    return names.link(_typed_names(spark, folder), "name", read(spark, folder, "buyer_register"), "buyer_id", "official_name").drop("name")
+    ensure_checkpoints(spark)
+    return names.link(_typed_names(spark, folder), "name", read(spark, folder, "buyer_register"), "buyer_id", "official_name", "city").drop("name")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
