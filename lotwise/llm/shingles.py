@@ -52,15 +52,22 @@ def smallest(texts: list[str], size: int, hashes: Hashes) -> list[tuple[bytes, i
     return sketched(texts, size, hashes)[0]
 
 
-def parities(flat: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+def occurrences(hashed: np.ndarray) -> np.ndarray:
+    """The words' hashes with the same word's second, third ... occurrence told apart, sorted."""
+    x = np.sort(hashed)
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))[: len(x)]
+    nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
+    return np.sort(_mixed(x + nth.astype(np.uint64) * _ODD[0]))
+
+
+def parities(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Four 64-bit words a text: whether an odd number of its words falls on each of 256 bits.
 
-    Two texts differ in no more bits than their bags of words in words. Zero for texts of more than ``most`` words.
+    Two texts differ in no more bits than their bags of words in words.
     """
-    short = lengths <= most
     owner = np.repeat(np.arange(len(lengths)), lengths)
     at = owner * 256 + ((flat >> np.uint64(20)) & np.uint64(255)).astype(np.int64)
-    odd = np.bincount(at[short[owner]], minlength=256 * len(lengths)).astype(np.uint8) & 1
+    odd = np.bincount(at, minlength=256 * len(lengths)).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64).reshape(-1, 4)
 
 
