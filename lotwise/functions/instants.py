@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import calendar
 import re
+import time
 import unicodedata
 from zoneinfo import available_timezones
 
@@ -156,14 +157,14 @@ def _tidy(text: str) -> str:
     return " ".join(_FILL.sub(" ", text).split())
 
 
-def readings(date: str, time: str = "", day_first: bool | None = True) -> list[tuple[str, int, int | None, str | None]]:
+def readings(date: str, clock: str = "", day_first: bool | None = True) -> list[tuple[str, int, int | None, str | None]]:
     """All readings of a date field with, if given, a time field beside it.
 
     A zone stated in either field holds for both, one in the time before one in the date. Nothing
     for a date without a time of day, a time without a date, impossible dates and plain words.
     """
     text = _tidy(date or "")
-    clock_text = _tidy(time or "")
+    clock_text = _tidy(clock or "")
     if not text:
         return []
     if not clock_text and (found := _EPOCH.fullmatch(text)):
@@ -186,3 +187,21 @@ def readings(date: str, time: str = "", day_first: bool | None = True) -> list[t
         days = dates(rest, day_first) if own else []
     clocks = clocks or own
     return [(f"{f} {g}", d * 86400 + s, offset, zone) for f, d in days for g, s in clocks]
+
+
+def parts(text: str) -> list[str]:
+    """The dates of a list of them, as of a notice with several lots; a date with a comma in it is one."""
+    whole = _tidy(text or "")
+    if not whole:
+        return []
+    return [whole] if day_of(whole) else [p.strip() for p in re.split(r"[;|]|,\s", text) if p.strip()]
+
+
+def day_of(text: str) -> str | None:
+    """The day yyyyMMdd that a written date names, with or without a time of day; None for junk."""
+    found = readings(text, day_first=True)
+    days = found[0][1] // 86400 if found else next((d for _, d in dates(split_zone(_tidy(text))[0])), None)
+    if days is None:
+        return None
+    t = time.gmtime(days * 86400)
+    return f"{t.tm_year:04d}{t.tm_mon:02d}{t.tm_mday:02d}"

@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)|<!.*?(?:>|$)|<(/?)([A-Za-z_][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
@@ -14,7 +15,10 @@ _SPACE = re.compile(r"[\s\x85]+")
 _HYPHEN = re.compile(r"([^\W\d_])-[ \t]*[\r\n]+[ \t]*([^\W\d_])")
 # Elements whose content is no text, and elements that end a line.
 _SILENT = ("script", "style", "head", "noscript", "svg")
-_BLOCK = "p div br li tr h1 h2 h3 h4 h5 h6 table section article header footer blockquote pre option".split()
+_BLOCK = (
+    "p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table",
+    "section", "article", "header", "footer", "blockquote", "pre", "option",
+)
 
 
 def clean(text: str | None) -> str:
@@ -106,15 +110,16 @@ def tree(text: str) -> Node:
 
 
 def strip_tags(text: str) -> str:
-    """Without tags and comments; a bare < takes what follows up to the next > with it."""
+    """Without tags and comments; a bare < takes what follows up to the next > with it, and stays if there is none."""
     text = re.sub(r"<!--.*?(?:-->|\Z)", "", text, flags=re.S)
     text = re.sub(r"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", lambda m: m.group(1).replace("<", "&lt;").replace(">", "&gt;"), text, flags=re.S)
-    return re.sub(r"<[^>]*(?:>|\Z)", "", text)
+    return re.sub(r"<[^>]*>", "", text)
 
 
 def _collapse(text: str) -> str:
+    """One blank for white space within lines, and no blank lines."""
     lines = [_SPACE.sub(" ", line).strip() for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    return "\n".join(line for line in lines if line)
 
 
 def html_to_text(page: str) -> str:
@@ -129,15 +134,38 @@ def xml_to_text(text: str) -> str:
     return _collapse(html.unescape(strip_tags(text)))
 
 
-_ANCHOR = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))[^>]*>(.*?)</a\s*>", re.S | re.I)
+class _Links(HTMLParser):
+    """Collects the address of each a element that has one, and where its content begins and ends."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.begins = [0, *(i + 1 for i, c in enumerate(page) if c == "\n")]
+        self.href: str | None = None
+        self.start = 0
+        self.found: list[tuple[str, int, int]] = []
+        self.feed(page)
+
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self.begins[line - 1] + column
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "a" and self.href is None:  # a link within a link is text of the outer one
+            self.href = next((v or "" for k, v in attrs if k == "href"), None)
+            self.start = self._here() + len(self.get_starttag_text() or "")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a" and self.href is not None:
+            self.found.append((self.href, self.start, self._here()))
+            self.href = None
 
 
 def anchors(page: str) -> list[tuple[str, str]]:
     """(address, label) of each link of a page, in order; labels are text of at most 160 characters."""
     out = []
-    for a, b, c, inside in _ANCHOR.findall(page):
-        label = " ".join(html_to_text(inside).split())
-        out.append((html.unescape((a or b or c).strip()), label if len(label) <= 160 else label[:160].rstrip() + "…"))
+    for href, begin, end in _Links(page).found:
+        label = " ".join(html_to_text(page[begin:end]).split())
+        out.append((href.strip(), label if len(label) <= 160 else label[:160].rstrip() + "…"))
     return out
 
 

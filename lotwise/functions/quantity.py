@@ -32,15 +32,17 @@ class Unit:
     currencies: tuple[str, ...] = ()  # more than one: a sign that several currencies share
 
     def times(self, other: Unit, sign: int = 1) -> Unit:
+        if self == Unit() and sign == 1:
+            return other  # alone, a unit keeps its zero
         return Unit(
             self.scale * other.scale**sign,
             tuple(a + sign * b for a, b in zip(self.dims, other.dims, strict=True)),
-            self.offset or other.offset,
+            0.0,  # within a product a degree is a difference, whatever its zero
             self.currencies or other.currencies,
         )
 
     def power(self, n: int) -> Unit:
-        return replace(self, scale=self.scale**n, dims=tuple(n * d for d in self.dims))
+        return replace(self, scale=self.scale**n, dims=tuple(n * d for d in self.dims), offset=self.offset if n == 1 else 0.0)
 
 
 @dataclass(frozen=True)
@@ -83,12 +85,8 @@ _SHARES = {
 # SI and common technical units.
 _PHYSICAL = {
     "m": Unit(1.0, dim(length=1)),
-    "km": Unit(1e3, dim(length=1)),
-    "cm": Unit(1e-2, dim(length=1)),
-    "mm": Unit(1e-3, dim(length=1)),
     "ha": Unit(1e4, dim(length=2)),
     "l": Unit(1e-3, dim(length=3)),
-    "kg": Unit(1.0, dim(mass=1)),
     "g": Unit(1e-3, dim(mass=1)),
     "s": Unit(1.0, dim(time=1)),
     "min": Unit(60.0, dim(time=1)),
@@ -98,12 +96,14 @@ _PHYSICAL = {
     "n": Unit(1.0, dim(mass=1, length=1, time=-2)),
     "j": Unit(1.0, dim(mass=1, length=2, time=-2)),
     "w": Unit(1.0, dim(mass=1, length=2, time=-3)),
-    "kw": Unit(1e3, dim(mass=1, length=2, time=-3)),
-    "kwh": Unit(3.6e6, dim(mass=1, length=2, time=-2)),
+    "wh": Unit(3600.0, dim(mass=1, length=2, time=-2)),
     "k": Unit(1.0, dim(temperature=1)),
     "°c": Unit(1.0, dim(temperature=1), 273.15),
     "°f": Unit(5 / 9, dim(temperature=1), 273.15 - 32 * 5 / 9),
 }
+# SI prefixes that mean one thing in lower case, and the units they go with.
+_PREFIXES = {"k": 1e3, "h": 1e2, "d": 1e-1, "c": 1e-2, "m": 1e-3, "µ": 1e-6, "μ": 1e-6}
+_PREFIXED = ("m", "g", "l", "s", "n", "j", "w", "wh")
 
 _GROUP = "[., '’   ]"
 _NUMBER = re.compile(rf"[+-]?\d+(?:{_GROUP}\d+)*(?:[eE][+-]?\d+)?(?![^\W\d_])|[+-]?\d+(?:{_GROUP}\d+)*")
@@ -169,6 +169,8 @@ class Grammar:
             unit = self.units[bare[1:]]
             if unit.currencies:
                 return replace(unit, scale=unit.scale * self.magnitudes[bare[0]])
+        if self.physical and bare[:1] in _PREFIXES and bare[1:] in _PREFIXED:
+            return replace(self.units[bare[1:]], scale=self.units[bare[1:]].scale * _PREFIXES[bare[0]])
         return None
 
     def unit(self, text: str) -> Unit | None:

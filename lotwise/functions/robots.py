@@ -51,12 +51,19 @@ def matches(pattern: str, path: str) -> bool:
     return at == len(path) or (bool(rest) and rest[-1] == "")
 
 
-def allowed(groups: list[Group], agent: str, path: str) -> bool:
-    """The first group whose name the agent contains goes before *; the longest rule wins, Allow in a tie."""
+def group_of(groups: list[Group], agent: str) -> list[tuple[str, bool]]:
+    """The rules for an agent: of the first group whose name it contains, else of the one for all."""
     low = agent.lower()
     named = next((g for g in groups if any(a and a != "*" and a in low for a in g.agents)), None)
     group = named or next((g for g in groups if "*" in g.agents), None)
-    if group is None:
-        return True
-    hits = [(len(p), ok) for p, ok in group.rules if matches(p, path or "/")]
+    return group.rules if group else []
+
+
+def decide(rules: list[tuple[str, bool]], path: str) -> bool:
+    """The longest rule wins, Allow in a tie."""
+    hits = [(len(p), ok) for p, ok in rules if matches(p, path or "/")]
     return max(hits)[1] if hits else True
+
+
+def allowed(groups: list[Group], agent: str, path: str) -> bool:
+    return decide(group_of(groups, agent), path)

@@ -86,11 +86,16 @@ def _hit(term: Column, start: Column, end: Column, pair: bool) -> Column:
     return F.struct(term.alias("term"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(pair).alias("pair"))
 
 
+def bound(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often ``of`` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _term_hit(text: Column, terms: list[str]) -> Column:
     if not terms:
         return _none()
-    first = F.array_min(_hits(text, terms))
-    return F.when(first.isNotNull(), _hit(first["term"], first["start"], first["start"] + first["len"], False))
+    hit = lambda first: F.when(first.isNotNull(), _hit(first["term"], first["start"], first["start"] + first["len"], False))
+    return bound(F.array_min(_hits(text, terms)), hit)
 
 
 def _pair_hit(text: Column, a: list[str], b: list[str], window: int) -> Column:
@@ -99,8 +104,11 @@ def _pair_hit(text: Column, a: list[str], b: list[str], window: int) -> Column:
         return _none()
 
     def placed(terms: list[str]) -> Column:
-        at = lambda h: F.octet_length(F.substring(text, F.lit(1), h["start"] - 1))
-        return F.transform(_hits(text, terms), lambda h: F.struct(h["start"], h["ord"], h["term"], (h["start"] + h["len"]).alias("end"), at(h).alias("b0"), (at(h) + h["bytes"]).alias("b1")))
+        one = lambda h: bound(
+            F.octet_length(F.substring(text, F.lit(1), h["start"] - 1)),
+            lambda at: F.struct(h["start"], h["ord"], h["term"], (h["start"] + h["len"]).alias("end"), at.alias("b0"), (at + h["bytes"]).alias("b1")),
+        )
+        return F.transform(_hits(text, terms), one)
 
     def joined(x: Column, y: Column) -> Column:
         gap = F.greatest(y["b0"] - x["b1"], x["b0"] - y["b1"])
@@ -113,10 +121,12 @@ def _pair_hit(text: Column, a: list[str], b: list[str], window: int) -> Column:
             gap.alias("gap"),
         )
 
-    right = placed(b)
-    all_pairs = F.flatten(F.transform(placed(a), lambda x: F.transform(right, lambda y: joined(x, y))))
-    first = F.array_min(F.filter(all_pairs, lambda p: (p["gap"] >= 0) & (p["gap"] <= window)))
-    return F.when(first.isNotNull(), _hit(first["term"], first["start"], first["end"], True))
+    def nearest(right: Column) -> Column:
+        all_pairs = F.flatten(F.transform(placed(a), lambda x: F.transform(right, lambda y: joined(x, y))))
+        return F.array_min(F.filter(all_pairs, lambda p: (p["gap"] >= 0) & (p["gap"] <= window)))
+
+    hit = lambda first: F.when(first.isNotNull(), _hit(first["term"], first["start"], first["end"], True))
+    return bound(bound(placed(b), nearest), hit)
 
 
 class LanguageMatcher:
@@ -141,8 +151,7 @@ class LanguageMatcher:
                 self._by_language(lang, lambda n: _pair_hit(low, _of(s.near_a, n), _of(s.near_b, n), s.window)),
             )
 
-        # bound in a lambda, the text is folded once and not for each term
-        return F.get(F.transform(F.array(fold(text)), hit), F.lit(0))
+        return bound(fold(text), hit)  # folded once and not for each term
 
     def covers(self, lang: Column) -> Column:
         """Whether a language was searched at all; a text without one always is."""
@@ -152,9 +161,13 @@ class LanguageMatcher:
         return (language(lang) == "") | language(lang).isin(sorted(known))
 
     def describe(self) -> str:
+        """What is looked for; parts there are none of are left out."""
         s = self.spec
         count = lambda g: sum(map(len, g.values()))
-        return f"{count(s.terms)} term(s), {count(s.near_a)}+{count(s.near_b)} paired root(s) within {s.window} chars across {len(s.languages())} language(s)"
+        parts = [f"{count(s.terms)} term(s)"] if s.terms else []
+        if s.near_a or s.near_b:
+            parts.append(f"{count(s.near_a)}+{count(s.near_b)} paired root(s) within {s.window} chars")
+        return f"{', '.join(parts)} across {len(s.languages())} language(s)" if parts else "empty search"
 
 
 _BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"

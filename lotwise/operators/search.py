@@ -6,13 +6,20 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.functions import instants
+
 CPV, COUNTRY, KIND = "classification-cpv", "buyer-country", "notice-type"
 PUBLISHED, DEADLINE, TEXT = "publication-date", "deadline-receipt-tender-date-lot", "FT"
 
 
+#: The most rows of a page, and numbers written into one filter.
+MOST = 250
+
+
 class QueryError(ValueError):
     """A request that cannot be compiled."""
 
@@ -85,16 +92,36 @@ class Filters:
 
 @dataclass
 class Columns:
-    """Where the predicates find their values; dates as text that begins yyyy-MM-dd."""
+    """Where the predicates find their values; publication dates as text that begins yyyy-MM-dd.
+
+    Deadlines may be written in any format; ``deadline_days`` names a column that holds them as an
+    array of days yyyyMMdd (a notice has one for each lot), so that they need not be read again.
+    """
 
     cpv: str = "cpv"
     country: str = "buyer_country"
     notice_type: str = "notice_type"
     published: str = "publication_date"
     deadline: str = "deadline"
+    deadline_days: str | None = None
     text: tuple[str, ...] = ("title",)
 
 
+def written_days(date: Column) -> Column:
+    """The days yyyyMMdd that dates written in any format name, each once; a text may list several.
+
+    They are those of the written clock, whatever its zone, so that a bound means the same everywhere.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        codes, uniques = pd.factorize(values)
+        found = [sorted({d for part in instants.parts(u) if (d := instants.day_of(part))}) for u in uniques] + [[]]
+        return pd.Series([found[c] for c in codes], dtype=object)
+
+    return run(date)
+
+
 def day_key(text: Column) -> Column:
     return F.replace(F.left(text, F.lit(10)), F.lit("-"), F.lit(""))
 
@@ -104,6 +131,13 @@ def contains_phrase(columns: tuple[str, ...], phrase: str) -> Column:
     return F.contains(both, F.lit(phrase.replace('"', "").strip().lower()))
 
 
+def _deadline(c: Columns, op: str, day: str) -> Column:
+    """Whether any deadline of a notice keeps a bound."""
+    days = F.col(c.deadline_days) if c.deadline_days else written_days(F.col(c.deadline))
+    test = {"=": lambda d: d == day, ">=": lambda d: d >= day, "<=": lambda d: d <= day}[op]
+    return F.coalesce(F.exists(days, test), F.lit(False))
+
+
 def compile_filters(f: Filters, columns: Columns | None = None, hierarchy: bool = False) -> tuple[str, Column]:
     """The expert query of the filters, and the predicate that says the same."""
     c = columns or Columns()
@@ -131,8 +165,11 @@ def compile_filters(f: Filters, columns: Columns | None = None, hierarchy: bool
         if value.strip():
             day = compact_date(value)
             clauses.append(f"{name}{op}{day}")
-            key = day_key(F.col(c.published if name == PUBLISHED else c.deadline))
-            tests.append(key >= day if op == ">=" else key <= day)
+            if name == PUBLISHED:
+                key = day_key(F.col(c.published))
+                tests.append(key >= day if op == ">=" else key <= day)
+            else:
+                tests.append(_deadline(c, op, day))
     if f.keywords.strip():
         clauses.append(f'{TEXT} ~ ("{f.keywords.strip().replace(chr(34), "")}")')
         tests.append(contains_phrase(c.text, f.keywords))
@@ -199,7 +236,10 @@ def parse(query: str, columns: Columns | None = None, hierarchy: bool = False) -
         if name in (COUNTRY, KIND) and op in ("=", "IN"):
             return F.col(c.country if name == COUNTRY else c.notice_type).isin(found)
         if name in (PUBLISHED, DEADLINE) and op in ("=", ">=", "<="):
-            key, day = day_key(F.col(c.published if name == PUBLISHED else c.deadline)), compact_date(found[0])
+            day = compact_date(found[0])
+            if name == DEADLINE:
+                return _deadline(c, op, day)
+            key = day_key(F.col(c.published))
             return key == day if op == "=" else key >= day if op == ">=" else key <= day
         if name == TEXT and op == "~":
             return contains_phrase(c.text, " ".join(found))
@@ -232,10 +272,14 @@ def search(notices: DataFrame, filters: Filters, page: int = 1, limit: int = 20,
     found = notices.filter(predicate)
     by = {PUBLISHED: c.published, DEADLINE: c.deadline}.get(filters.sort_by, filters.sort_by)
     first = F.col(by).asc_nulls_last() if filters.order.upper() == "ASC" else F.col(by).desc_nulls_last()
-    n = clamp(limit, 20, 250)
+    n = clamp(limit, 20, MOST)
     return found.orderBy(first, F.col(key)).offset((max(page, 1) - 1) * n).limit(n), found.agg(F.count("*").alias("total"))
 
 
 def get_many(notices: DataFrame, numbers: list[str], key: str = "publication_number") -> DataFrame:
-    """The notices of the numbers named (at most 250); unknown ones are silently absent."""
-    return notices.filter(F.col(key).isin(list(dict.fromkeys(n.strip() for n in numbers if n.strip()))[:250]))
+    """The notices of all numbers named; unknown ones are silently absent."""
+    wanted = list(dict.fromkeys(n.strip() for n in numbers if n.strip()))
+    if len(wanted) <= MOST:
+        return notices.filter(F.col(key).isin(wanted))
+    listed = notices.sparkSession.createDataFrame([(n,) for n in wanted], f"`{key}` string")  # the caller's own list
+    return notices.join(F.broadcast(listed), key, "left_semi")

@@ -14,7 +14,9 @@ MATCHES, AROUND, CRITERION = 12, 180, 500
 
 def evidence(texts: DataFrame, matcher, group: list[str], order: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """The texts with a hit: term, start and snippet beside their other columns."""
-    found = texts.withColumn("__hit", matcher.find(F.col(text), F.col(lang))).filter(F.col("__hit").isNotNull())
+    # exploded rather than filtered: a filter would be pushed below the projection, and every text searched twice
+    hits = F.array_compact(F.array(matcher.find(F.col(text), F.col(lang))))
+    found = texts.select("*", F.explode(hits).alias("__hit"))
     return found.select(*group, *order, lang, text, F.col("__hit.term").alias("term"), F.col("__hit.start").alias("start"), textmatch.snippet(F.col(text), F.col("__hit"), AROUND).alias("snippet"))
 
 

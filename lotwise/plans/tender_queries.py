@@ -24,7 +24,7 @@ _LOW = "replace(lower(replace(text, 'İ', 'I')), 'ς', 'σ')"
 
 
 def _doc(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents")
+    return read(spark, folder, "documents", spread=True)
 
 
 # --- SQL of hits, made from the same terms -------------------------------------------------
@@ -129,7 +129,7 @@ def scan_accounting(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_tenders(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence of tenders: their criteria first, then the texts of their documents."""
-    criteria = read(spark, folder, "award_criteria").filter(F.length("description") > 0)
+    criteria = read(spark, folder, "award_criteria", spread=True).filter(F.length("description") > 0)
     first = criteria.select("publication_number", F.col("crit_row").alias("seq"), F.upper(F.substring("lang", 1, 2)).alias("lang"), F.col("description").alias("text"))
     rest = _doc(spark, folder).filter((F.length("text") > 0) & F.col("publication_number").isNotNull())
     texts = rest.select("publication_number", F.lit(2).alias("tier"), F.col("doc_id").alias("seq"), "lang", "text")
@@ -370,7 +370,7 @@ def oracle_sql() -> dict[str, str]:
         "unseen_urls": "SELECT submission_url AS url, min(lot_row) AS lot_row FROM lots WHERE submission_url IS NOT NULL AND submission_url NOT IN (SELECT documents_url FROM lots WHERE documents_url IS NOT NULL) GROUP BY 1",
         "cache_eviction": """SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, sum(n_chars) OVER () AS whole, coalesce(sum(n_chars) OVER (ORDER BY fetched_at, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
             FROM documents WHERE n_chars > 0) WHERE whole > 200000 AND whole - before > 0.8 * 200000""",
-        "contract_lookup": f"SELECT record_id, cig, cod_cpv, importo_lotto FROM contracts WHERE {fits} ORDER BY cig LIMIT 50",
+        "contract_lookup": f"SELECT record_id, cig, cod_cpv, importo_lotto FROM contracts WHERE {fits} ORDER BY cig, record_id LIMIT 50",
         "lookup_stats": f"""SELECT count(*) AS scanned, count(*) FILTER ({own}) AS candidates, count(*) FILTER ({own} AND ({lot} IS NULL OR {whole} IS NULL)) AS malformed,
             count(*) FILTER ({fits}) AS matched, count(*) FILTER ({fits}) > 50 AS limit_hit FROM contracts""",
         "lenient_numbers": f"SELECT record_id, {lot} AS lot, {whole} AS whole FROM contracts",

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table ``name`` of a folder that holds one parquet file or directory a table."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """The table ``name`` of a folder that holds one parquet file or directory a table.
+
+    ``spread``: rows that take much work each are dealt out over all cores where the files give fewer
+    tasks than there are; large tables are read as they lie.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -25,6 +31,8 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         return
     named = shared_folder(spark)
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("a cluster must name a folder that all executors share in spark.checkpoint.dir")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="lotwise-checkpoints-")

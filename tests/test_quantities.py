@@ -43,6 +43,8 @@ def test_dimensions_and_offsets():
     assert g.quantity("90 km/h").value == pytest.approx(25) and g.quantity("90 km/h").dims == (0, 1, 0, -1, 0)
     assert g.quantity("20 °C").value == pytest.approx(293.15)
     assert g.quantity("3 furlongs") is None
+    assert g.quantity("5 W/°C").value == pytest.approx(5) and g.quantity("3 J/°C").value == pytest.approx(3)  # of differences
+    assert g.quantity("2 kN").value == pytest.approx(2000) and g.quantity("3 kWh").value == pytest.approx(1.08e7) and g.quantity("4 cm").value == pytest.approx(0.04)
 
 
 def test_tables(spark):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import markup, robots
 from lotwise.functions import textmatch as M
-from lotwise.operators import contracts, extract, notice_xml, search, web
+from lotwise.operators import access, contracts, extract, notice_xml, search, web
 from lotwise.plans import scan
+from lotwise.sources import files
 
 TEXTS = [
     ("ITA", "Sono richieste lampade a LED, di classe A", "led", False),
@@ -31,6 +32,8 @@ def test_matching_by_language(spark):
     cover = {r.id: r.c for r in df.select("id", m.covers(F.col("lang")).alias("c")).collect()}
     assert [cover[i] for i in range(5)] == [True, True, False, True, True]
     assert m.describe() == "2 term(s), 1+1 paired root(s) within 20 chars across 2 language(s)"
+    assert M.Spec({"A": ["x"]}) and M.matcher({"A": ["x"]}).describe() == "1 term(s) across 1 language(s)"
+    assert M.LanguageMatcher(M.Spec()).describe() == "empty search" and M.LanguageMatcher(M.Spec({}, {"A": ["x"]})).describe() == "1+0 paired root(s) within 60 chars across 1 language(s)"
 
 
 def test_near_counts_bytes(spark):
@@ -161,9 +164,12 @@ def test_robots(body, agent, path, want):
 
 def test_pages():
     page = "<html><head><title>t</title></head><body><p>One &amp; two</p><script>x<y</script><!-- c --><ul><li>a<li>b</ul>5 < 10</p>z"
-    assert markup.html_to_text(page) == "One & two\n\na\nb5 z"
+    assert markup.html_to_text(page) == "One & two\na\nb5 z"
+    assert markup.html_to_text("<p>price < 10 euro") == "price < 10 euro" and markup.xml_to_text("<a>3 < 4") == "3 < 4"  # nothing closes it
     links = '<a href="/f.pdf">Bando <b>1</b></a><a href=#x>no</a><A HREF=\'http://other.org/x\'>o</A><a href="http://www.town.gov.it/f.pdf#p">again</a><a href="mailto:x">m</a>'
     assert markup.candidates("http://www.town.gov.it/a/", links) == [("http://www.town.gov.it/f.pdf", "Bando 1")]
+    odd = "<a title=\"x > y\" href='/g.pdf?a=1&amp;b=2'>G\n\n<a href=/inner>in</a></a><a name=top>none</a><a href=/open>never closed"
+    assert markup.anchors(odd) == [("/g.pdf?a=1&b=2", "G in")]
 
 
 def _zip(**members):
@@ -186,7 +192,7 @@ def test_extraction():
     got = {n: extract.extract(n, t, d) for n, t, d in [("a.docx", "", docx), ("b.zip", "", nested), ("c", "text/html", b"<p>x</p>"), ("d.bin", "", b"\x00\xff\x00"), ("e.txt", "", b""), ("f.pdf", "", b"%PDF-1.4 cut"), ("g.zip", "", b"PK\x03\x04bad")]}
     assert (got["a.docx"][0].kind, got["a.docx"][0].text) == ("docx", "One\nTwo")
     assert [(f.name, f.text, f.container) for f in got["b.zip"]] == [("disciplinare.txt", "first", "b.zip"), ("allegato.txt", "last", "b.zip"), ("x.txt", "deep", "b.zip")]
-    assert got["c"][0].text == "x" and got["d.bin"][0].status == "unsupported" and got["e.txt"][0].reason and got["f.pdf"][0].status == "damaged" and got["g.zip"][0].status == "damaged"
+    assert got["c"][0].text == "x" and got["d.bin"][0].status == "unsupported" and (got["e.txt"][0].kind, got["e.txt"][0].status) == ("unknown", "damaged") and got["f.pdf"][0].status == "damaged" and got["g.zip"][0].status == "damaged"
     for flate in (False, True):
         pdf = extract.extract("x.pdf", "", _pdf(b"BT /F1 12 Tf 72 700 Td (Hello) Tj 0 -14 Td [(W) -20 (orld)] TJ ET", flate))[0]
         assert (pdf.status, pdf.text, pdf.pages) == ("extracted", "Hello\nWorld", 1)
@@ -211,7 +217,7 @@ def test_envelopes():
 
 def test_files_table(spark):
     df = spark.createDataFrame([(1, "a.txt", None, bytearray(b"x"), "t"), (2, None, None, None, "t")], "id int, name string, content_type string, data binary, text string")
-    assert [(r.id, r.seq, r.status, r.chars) for r in extract.extract_files(df, "id").orderBy("id").collect()] == [(1, 0, "extracted", 1), (2, 0, "extracted", 0)]
+    assert [(r.id, r.seq, r.status, r.chars) for r in extract.extract_files(df, "id").orderBy("id").collect()] == [(1, 0, "extracted", 1), (2, 0, "damaged", 0)]
 
 
 def test_budgets_and_caps(spark):
@@ -240,3 +246,61 @@ def test_notice_evidence(spark):
     rest = spark.createDataFrame([("n", 2, 0, "ITA", "lamps LED"), ("n", 2, 1, "ITA", "LED lamps"), ("n", 2, 2, "FRA", "LED"), ("m", 2, 0, None, "led")], "pub string, tier int, seq int, lang string, text string")
     got = sorted((r["pub"], r.tier, r.seq, r.place) for r in scan.notices(crit, rest, M.matcher({"ITA": ["led"]}), "pub").collect())
     assert got == [("m", 2, 0, 1), ("n", 1, 0, 1), ("n", 2, 0, 2)]
+
+
+def test_answers_and_names(spark):
+    rows = [(200, "text/plain", "x", True, False), (404, None, None, True, False), (503, "text/html", "x", True, False), (None, None, None, True, True), (200, "text/html", "<i class=h-captcha>", True, False), (200, None, None, False, False)]
+    df = spark.createDataFrame(rows, "code int, kind string, body string, allowed boolean, failed boolean")
+    got = [r[0] for r in df.select(web.fetch_status(F.col("code"), F.col("kind"), F.col("body"), F.col("allowed"), F.col("failed"))).collect()]
+    assert got == ["fetched", "blocked", "blocked", "error", "captcha", "robots-denied"]
+    urls = [("http://a.it", None), ("http://a.it/x/y.pdf?q=1#z", None), ("http://a.it/x", 'attachment; filename="bando \\"1\\".pdf"'), ("http://a.it/x/", "inline; filename=b.pdf"), (None, None)]
+    df = spark.createDataFrame(urls, "url string, said string")
+    got = [tuple(r) for r in df.select(web.request_path(F.col("url")), web.file_name(F.col("said"), F.col("url"))).collect()]
+    assert got == [("/", None), ("/x/y.pdf?q=1", "y.pdf"), ("/x", 'bando "1".pdf'), ("/x/", "b.pdf"), (None, None)]
+
+
+def test_deadlines_of_any_format(spark):
+    rows = [(1, "03/04/2025 12:00"), (2, "2025-04-03T23:00:00-05:00"), (3, "4 aprile 2025"), (4, "2025-01-01, 2025-04-03"), (5, "n.d."), (6, None)]
+    df = spark.createDataFrame(rows, "publication_number int, deadline string")
+    days = {r[0]: r[1] for r in df.select("publication_number", search.written_days(F.col("deadline"))).collect()}
+    assert days == {1: ["20250403"], 2: ["20250403"], 3: ["20250404"], 4: ["20250101", "20250403"], 5: [], 6: []}
+    found = lambda **b: [r[0] for r in df.filter(search.compile_filters(search.Filters(**b))[1]).collect()]
+    assert found(deadline_from="2025-04-03", deadline_to="20250403") == [1, 2, 4] and found(deadline_to="2025-01-31") == [4]
+    stored = df.withColumn("days", search.written_days(F.col("deadline")))
+    predicate = search.parse("deadline-receipt-tender-date-lot=20250404", search.Columns(deadline_days="days"))
+    assert [r[0] for r in stored.filter(predicate).collect()] == [3]
+
+
+def test_many_numbers_are_not_cut(spark):
+    df = spark.createDataFrame([(str(i),) for i in range(400)] + [(None,)], "publication_number string")
+    assert search.get_many(df, [str(i) for i in range(390)]).count() == 390 and search.get_many(df, []).count() == 0
+
+
+def test_robots_by_host(spark):
+    robots_table = spark.createDataFrame([("A.it", 200, "User-agent: *\nDisallow: /p", False), ("b.it", 404, "Disallow", False), ("c.it", None, None, True), ("a.it", 500, "x", False), (None, 200, "x", False)], "host string, code int, body string, failed boolean")
+    urls = spark.createDataFrame([(1, "http://a.it/p/1", "kept"), (2, "http://a.it/q", ""), (3, "https://b.it/p", ""), (4, "http://c.it/", ""), (5, "http://d.it/", ""), (6, None, "")], "id int, url string, allowed string")
+    got = {r.id: (r.allowed, r.failed) for r in access.decide(urls, robots_table, "bot").collect()}
+    assert got == {1: (False, False), 2: (True, False), 3: (True, False), 4: (False, True), 5: (True, False), 6: (True, False)}
+    assert access.decide(urls.limit(0), robots_table, "bot").count() == 0 and access.decide(urls, robots_table.limit(0), "bot").filter("allowed").count() == 6
+
+
+def test_snapshot(spark, tmp_path):
+    lines = ['{"CIG": "a", "cf_amministrazione_appaltante": "1", "importo_lotto": "10.0", "cod_cpv": "34"}', "", '{"cig": "b", "cf_amministrazione_appaltante": "1", "importo_lotto": {"v": 1}}', '{"cig": "c", "cf_amministrazione_appaltante": "22", "oggetto_gara": "1 x"}', "{cut 1", '{"cig": "d", "cf_amministrazione_appaltante": "2"}', '{"cig": "e", "cf_amministrazione_appaltante": "1", "importo_lotto": null, "importo_complessivo_gara": 10, "Esito": "OK"}']
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("folder/", "")
+        z.writestr("one.json", "\n".join(lines))
+        z.writestr("two.json", lines[0].replace('"a"', '"f"') + "\r\n")
+    archives = spark.createDataFrame([("s.zip", bytearray(data.getvalue())), ("bad.zip", bytearray(b"no")), ("none.zip", None)], "path string, content binary")
+    found, stats = contracts.lookup_archives(archives.filter("path = 's.zip'"), ["1"], value=10.0)
+    assert [(r.cig, r.esito) for r in found.collect()] == [("a", ""), ("e", "OK"), ("f", "")]
+    assert stats.first().asDict() == {"scanned": 8, "candidates": 6, "malformed": 2, "matched": 3, "first_problem": "a number is none", "limit_hit": False}
+    assert contracts.lookup_archives(archives, ["1"])[1].first().malformed == 4 and contracts.lookup_archives(archives.limit(0), ["1"])[1].first().scanned == 0
+    (tmp_path / "s.zip").write_bytes(data.getvalue())
+    stored = files.read_files(spark, str(tmp_path), "*.zip").withColumnRenamed("data", "content")
+    assert [r.cig for r in contracts.lookup_archives(stored, ["1"], ["34"])[0].collect()] == ["a", "f"]
+    assert [(r.data, r.failure) for r in files.read_files(spark, str(tmp_path), most=3).collect()] == [(None, "the file is too long")]
+    buyers = spark.createDataFrame([("n", [("O1", " 7 ", ["buyer"]), ("O2", "8", ["buyer"])]), ("m", [("O1", "", ["buyer"])]), ("k", None)], "publication_number string, organizations array<struct<id:string,company_id:string,roles:array<string>>>")
+    assert [tuple(r) for r in contracts.asked_by(buyers).collect()] == [("n", "7", None)]
+    amounts = spark.createDataFrame([("n", "10.5"), ("x", "1")], "publication_number string, total_value string")
+    assert [tuple(r) for r in contracts.asked_by(buyers, values=amounts).collect()] == [("n", "7", 10.5)]
