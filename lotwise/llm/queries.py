@@ -11,8 +11,8 @@ from lotwise.sources.tables import ensure_checkpoints, read
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    documents = read(spark, folder, "documents").filter(F.length("text") >= 200).select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
-    criteria = read(spark, folder, "award_criteria").select(F.lit("award_criteria").alias("src"), F.col("crit_row").alias("id"), F.col("description").alias("text"))
+    documents = read(spark, folder, "documents", spread=True).filter(F.length("text") >= 200).select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
+    criteria = read(spark, folder, "award_criteria", spread=True).select(F.lit("award_criteria").alias("src"), F.col("crit_row").alias("id"), F.col("description").alias("text"))
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     return documents.unionByName(criteria.filter(words >= 20))
 
@@ -33,7 +33,7 @@ def _lot_records(spark: SparkSession, folder: str) -> DataFrame:
     """Lots of Italian buyers with the buyer's code and the value in euros."""
     notices = read(spark, folder, "notices").groupBy("publication_number").agg(F.min("buyer_country").alias("buyer_country")).filter("buyer_country = 'ITA'")
     buyers = read(spark, folder, "organizations").filter("org_id = 'ORG-0001'").groupBy("publication_number").agg(F.max("company_id").alias("code"))
-    lots = read(spark, folder, "lots").select("lot_row", "publication_number", "title", "value", "currency", "cpv", "deadline_date")
+    lots = read(spark, folder, "lots", spread=True).select("lot_row", "publication_number", "title", "value", "currency", "cpv", "deadline_date")
     here = lots.join(notices, "publication_number").join(buyers, "publication_number", "left")
     priced = here.withColumn("money", quantities.parsed_money(F.col("value"), F.col("currency")))
     rates = read(spark, folder, "fx_rates").select("currency", "eur_per_unit")
@@ -50,7 +50,7 @@ def _lot_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _contract_records(spark: SparkSession, folder: str) -> DataFrame:
-    contracts = read(spark, folder, "contracts")
+    contracts = read(spark, folder, "contracts", spread=True)
     return contracts.select(
         F.col("record_id").alias("id"),
         F.coalesce("oggetto_lotto", "oggetto_gara").alias("title"),
@@ -94,7 +94,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents").select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens"))
+    return read(spark, folder, "documents", spread=True).select("doc_id", "source", tokens.token_count(F.col("text")).alias("tokens"))
 
 
 def p7_bins(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +120,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     """The level of each document of at least 200 characters, with the two measures behind it."""
-    return reading.levels(read(spark, folder, "documents"), "doc_id", "text", "lang", read(spark, folder, "level_samples"), min_chars=200)
+    return reading.levels(read(spark, folder, "documents", spread=True), "doc_id", "text", "lang", read(spark, folder, "level_samples"), min_chars=200)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
