@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -75,9 +76,9 @@ def sketched(texts: list[str], size: int, hashes: Hashes) -> tuple[list[tuple[by
     """What ``smallest`` gives; beside it the hashes of all texts' words, and the number of each text's."""
     split = [words(t) for t in texts]
     lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    digests = [xxhash.xxh3_128_digest(" ".join(w)) for w in split]
-    flat = np.fromiter((hashes[w] for ws in split for w in ws), dtype=np.uint64, count=int(lengths.sum()))
+    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(lengths.sum()))
     starts = np.cumsum(lengths) - lengths
+    digests = [xxhash.xxh3_128_digest(flat[a : a + n]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
     many = np.maximum(lengths - 4, np.minimum(lengths, 1))
     padded = np.concatenate([flat, np.zeros(5, dtype=np.uint64)])
     all_hashes = shingle_hashes(padded, 5)[: len(flat)]
