@@ -8,7 +8,7 @@ with the code or the amount (within about 1 %), two chunks with the day; two of
 and category together, and titles that name one thing, find the rest. So buckets stay small however
 many records one buyer has. The Dice similarities of the pairs found are reduced to levels, and a
 two-class mixture fitted by EM to the counts of level patterns over all pairs gives each field's
-weight and each pattern's probability of being a match.
+weight and each pattern's probability of being a match. A record's rivals then share its confidence.
 """
 
 from __future__ import annotations
@@ -190,6 +190,8 @@ def _level(value: Column, bounds: list[float]) -> Column:
     return F.when(value.isNull(), -1).otherwise(out)
 
 
+#: The highest probability that a pair's similarities can give.
+_SUREST = 0.9999
 #: The fields' similarity levels: from the highest on they agree.
 BOUNDS = {"title": [0.6, 0.75, 0.88, 0.97], "numbers": [0.3, 0.7, 0.999], "code": [0.8, 0.999], "amount": [0.98, 0.995, 0.9990], "cpv": [0.3, 0.6], "day": [0.5]}
 
@@ -247,7 +249,10 @@ def calibrate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) ->
 
 
 def match(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
-    """(id_a, id_b, confidence): pairs of records of the two tables that match, surest first or not.
+    """(id_a, id_b, confidence): pairs of records of the two tables that match, in no order.
+
+    A pair matches if its own similarities make it ``least`` likely. Its confidence also counts what
+    else its records might match: of rivals that are as likely each gets its part.
 
     Both tables have id, title, code, amount, cpv and date; any attribute may be null, and a record
     too poor to lie in any bucket matches nothing. Repeated rows match as often as they occur.
@@ -265,6 +270,12 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
     counted = levels.groupBy(*BOUNDS).agg(F.count("*").alias("n")).collect()  # a few thousand patterns at most
     confidence, _ = calibrate([(tuple(r[:-1]), r[-1]) for r in counted])
     spark = left.sparkSession
-    rows = [(*p, c) for p, c in confidence.items() if c >= least]
-    table = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in BOUNDS) + ", confidence double")
-    return levels.join(F.broadcast(table), list(BOUNDS)).select("id_a", "id_b", "confidence")
+    rows = [(*p, min(c, _SUREST) / (1 - min(c, _SUREST))) for p, c in confidence.items() if c >= least]
+    table = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in BOUNDS) + ", odds double")
+    found = levels.join(F.broadcast(table), list(BOUNDS)).select("id_a", "id_b", "odds").distinct().checkpoint()
+    # a record describes one thing: what a pair claims is shared with its rivals, of which equal ones count once
+    said = F.xxhash64("title", "numbers", "code", "amount", "cpv", "day")
+    told = found.join(a.select(F.col("id").alias("id_a"), said.alias("said_a")).distinct(), "id_a").join(b.select(F.col("id").alias("id_b"), said.alias("said_b")).distinct(), "id_b")
+    claims = lambda own, other: told.groupBy(own, other).agg(F.max("odds").alias("odds")).groupBy(own).agg(F.sum("odds").alias(f"of_{own}"))
+    whole = found.join(claims("id_a", "said_b"), "id_a").join(claims("id_b", "said_a"), "id_b")
+    return whole.select("id_a", "id_b", (F.col("odds") / (1 + F.greatest("of_id_a", "of_id_b"))).alias("confidence"))

@@ -14,13 +14,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def default_slopes(shares: dict[str, float], steepest: float = 0.8) -> dict[str, float]:
-    """Slopes that fade sources out or in by their order of name, leaving the total rate constant."""
-    names = sorted(shares)
-    raw = {s: (2 * i / (len(names) - 1) - 1 if len(names) > 1 else 0.0) for i, s in enumerate(names)}
-    mean = sum(shares[s] * raw[s] for s in names) / sum(shares.values())
+#: A schedule: its times from 0 to 1, and its weight at each of them.
+Schedule = tuple[list[float], list[float]]
+
+
+def fading(shares: dict[str, float], order: list[str], steepest: float = 0.8) -> dict[str, Schedule]:
+    """Straight schedules in which the sources first in ``order`` fade out and the last fade in.
+
+    The total rate is constant. Sources that ``order`` lacks keep their share throughout.
+    """
+    known = [s for s in order if s in shares]
+    raw = {s: (2 * i / (len(known) - 1) - 1 if len(known) > 1 else 0.0) for i, s in enumerate(known)}
+    whole = sum(shares[s] for s in known)
+    mean = sum(shares[s] * raw[s] for s in known) / whole if whole else 0.0
     most = max((abs(v - mean) for v in raw.values()), default=0.0) or 1.0
-    return {s: steepest * (v - mean) / most for s, v in raw.items()}
+    slopes = {s: steepest * (raw[s] - mean) / most if s in raw else 0.0 for s in shares}
+    return {s: ([0.0, 1.0], [1.0 - a, 1.0 + a]) for s, a in slopes.items()}
+
+
+def checked(schedule: Schedule) -> Schedule:
+    """The schedule, if its times rise from 0 to 1 and its weights are no less than 0 and not all 0."""
+    knots, weights = schedule
+    if len(knots) != len(weights) or len(knots) < 2 or knots[0] != 0 or knots[-1] != 1 or any(a >= b for a, b in zip(knots, knots[1:], strict=False)) or min(weights) < 0 or max(weights) <= 0:
+        raise ValueError(f"no schedule: {schedule}")
+    return [float(k) for k in knots], [float(w) for w in weights]
 
 
 def invert(done: Column, knots: Column, weights: Column) -> Column:
@@ -71,12 +88,13 @@ def cumulative(documents: DataFrame, key: str, source: str, size: str, per_bucke
     return within.join(offsets, ["source", "bucket"]).select("key", "source", "size", (F.col("offset") + F.col("inside")).alias("before"))
 
 
-def plan(supplies: dict[str, int], targets: list[tuple], slopes: dict[str, float] | None = None, most: int | None = None) -> list[tuple]:
+def plan(supplies: dict[str, int], targets: list[tuple], schedules: dict[str, Schedule] | None, order: list[str], most: int) -> list[tuple]:
     """(mix, source, share, repeats, supply, demand, knots, weights) of each mix and source.
 
     ``targets``: (mix, source, share, repeats). A mix is as large as its scarcest source allows
     within its repeats, and at most ``most``. Sources without a supply are left out, the others'
-    shares scaled to add up to 1.
+    shares scaled to add up to 1. Without ``schedules`` they fade in by ``order``; with them, a
+    source they lack keeps its share throughout.
     """
     out = []
     for mix in sorted({t[0] for t in targets}):
@@ -84,28 +102,34 @@ def plan(supplies: dict[str, int], targets: list[tuple], slopes: dict[str, float
         whole = sum(share for _, share, _ in rows)
         if not rows:
             continue
-        total = min(r * supplies[s] * whole / share for s, share, r in rows)
-        if most is not None:
-            total = min(total, most)
-        tilt = slopes if slopes is not None else default_slopes({s: share / whole for s, share, _ in rows})
+        total = min(most, min(r * supplies[s] * whole / share for s, share, r in rows))
+        given = fading({s: share / whole for s, share, _ in rows}, order) if schedules is None else schedules
         for s, share, r in rows:
-            a = tilt.get(s, 0.0)
-            out.append((mix, s, share / whole, int(r), int(supplies[s]), share / whole * total, [0.0, 1.0], [1.0 - a, 1.0 + a]))
+            knots, weights = checked(given.get(s, ([0.0, 1.0], [1.0, 1.0])))
+            out.append((mix, s, share / whole, int(r), int(supplies[s]), share / whole * total, knots, weights))
     return out
 
 
-def mix(documents: DataFrame, key: str, source: str, size: str, targets: DataFrame, slopes: dict[str, float] | None = None) -> DataFrame:
+def mix(documents: DataFrame, key: str, source: str, size: str, targets: DataFrame, schedules: dict[str, Schedule] | None = None, most: int | None = None) -> DataFrame:
     """(mix_id, position, key, source, copy, tokens), sorted by mix and position.
 
+    ``schedules``: by source, times from 0 to 1 and the weight at each, linear between them; only
+    their shape counts, as the source's share is that of ``targets``. Without any, sources of short
+    documents fade out and those of long ones fade in. A mix has at most ``most`` tokens (all there
+    are if it is None: a document is repeated to meet the shares, not to make the mix larger).
+
     ``documents`` is read twice, so pass sizes that are stored rather than recomputed. Documents of
     null or unnamed sources and of no size are not taken. A copy is taken if its middle lies within
     its source's demand, so a source misses its share by less than one document. ``targets``
     (mix_id, source, target_share, max_repeats) is a small reference table.
     """
     some = documents.filter((F.col(size) >= 1) & F.col(source).isNotNull())
-    supplies = {r[0]: r[1] for r in some.groupBy(source).agg(F.sum(size)).join(F.broadcast(targets.select(F.col("source").alias(source)).distinct()), source).collect()}
+    named = F.broadcast(targets.select(F.col("source").alias(source)).distinct())
+    sums = some.groupBy(source).agg(F.sum(size).alias("of"), F.avg(size).alias("mean")).join(named, source).collect()  # a row a named source
+    supplies = {r[0]: r["of"] for r in sums}
+    order = [r[0] for r in sorted(sums, key=lambda r: (r["mean"], r[0]))]
     wanted = [tuple(r) for r in targets.select("mix_id", "source", "target_share", "max_repeats").collect()]
-    rows = plan(supplies, wanted, slopes, sum(supplies.values()))
+    rows = plan(supplies, wanted, schedules, order, sum(supplies.values()) if most is None else most)
     spark = documents.sparkSession
     plans = spark.createDataFrame(rows, "mix_id int, source string, share double, repeats int, supply bigint, demand double, knots array<double>, weights array<double>")
     placed = cumulative(some, key, source, size).join(F.broadcast(plans), "source")

@@ -62,7 +62,7 @@ def pack(documents: DataFrame, key: str, size: str, containers: DataFrame, conta
     ``size`` is in whole units; null, zero and negative sizes take no room and get no row. A text
     is divided only if it is longer than the capacity, pieces counting from 0. Equal rows are packed
     each. ``containers`` is a small reference table; capacities below 1 and nulls are left out.
-    ``key`` spreads the work, so no value of it may hold more rows than fit one task.
+    Key and size spread the work, so no pair of them may hold more rows than fit one task.
     """
     kinds = [(r[0], int(r[1])) for r in containers.select(container, capacity).filter(F.col(capacity) >= 1).distinct().collect()]
     kinds.sort()
@@ -80,10 +80,11 @@ def pack(documents: DataFrame, key: str, size: str, containers: DataFrame, conta
             parts.append(pd.DataFrame({"c": name, "bin": base + sum_of_squares(length, most), "key": keys[item], "piece": piece, "tokens": length}))
         return pd.concat(parts)
 
-    hashed = F.xxhash64("key", F.lit(7))
+    hashed = F.xxhash64("key", "size", F.lit(7))
     placed = (
         sized.withColumn("order", hashed)
         .withColumn("block", F.pmod(hashed, F.lit(blocks)))
+        .repartition(blocks, "block")  # few bytes, but much work: not to be put together in one task
         .groupBy("block")
         .applyInPandas(run, f"c {ids}, bin bigint, key {types[key]}, piece int, tokens bigint")
     )

@@ -118,6 +118,33 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p8_mix(spark, folder), read(spark, folder, "mix_targets"))
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What has to hold for containers of each capacity: none too full, all tokens there, none divided that fits, little room left."""
+    sizes = _sizes(spark, folder).persist()
+    kinds = read(spark, folder, "container_sizes")
+    placed = packing.pack(sizes, "doc_id", "tokens", kinds, "container_id", "capacity_tokens").persist()
+    bins = placed.groupBy("container_id", "bin").agg(F.sum("tokens").alias("used")).join(F.broadcast(kinds), "container_id")
+    full = bins.groupBy("container_id").agg((F.max(F.col("used") - F.col("capacity_tokens")) <= 0).alias("within"), F.sum("used").alias("tokens"), (F.sum("used") / F.sum("capacity_tokens") > 0.93).alias("dense"))
+    texts = placed.groupBy("container_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("size")).join(F.broadcast(kinds), "container_id")
+    whole = texts.groupBy("container_id").agg((F.max(F.col("pieces") - F.ceil(F.col("size") / F.col("capacity_tokens"))) <= 0).alias("undivided"), F.count("*").alias("texts"))
+    total = sizes.agg(F.sum("tokens").alias("all"))
+    joined = full.join(whole, "container_id").join(F.broadcast(total), F.lit(True))  # one row of totals
+    return joined.select("container_id", "within", "dense", "undivided", "texts", (F.col("tokens") == F.col("all")).alias("complete"))
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What has to hold for each mix and source: its share within a document's reach, and no more copies than allowed."""
+    targets = read(spark, folder, "mix_targets")
+    found = mixing.shares(p8_mix(spark, folder), targets).join(targets.select("mix_id", "source", "max_repeats"), ["mix_id", "source"])
+    return found.select("mix_id", "source", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.01).alias("met"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
+def p4_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts have as many texts of their own wording."""
+    rows = p4_classes(spark, folder)
+    return rows.groupBy("src", "copies").agg(F.count("*").alias("texts"))
+
+
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     """The level of each document of at least 200 characters, with the two measures behind it."""
     return reading.levels(read(spark, folder, "documents", spread=True), "doc_id", "text", "lang", read(spark, folder, "level_samples"), min_chars=200)
@@ -129,9 +156,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [p4_found, p4_classes, p5_found, p5_matches, p6_found, p6_links, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_levels]
+    own = [p4_found, p4_classes, p5_found, p5_matches, p6_found, p6_links, p7_bins, p7_fill, p8_mix, p8_shares, p9_found, p9_levels, p4_copies, p7_kept, p8_kept]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = r"array_to_string(regexp_extract_all(lower(replace(text, '-' || chr(10), '')), '[\p{L}\p{N}\p{M}]+'), ' ')"
+    texts = """(SELECT 'documents' AS src, text FROM documents WHERE length(text) >= 200 UNION ALL
+        SELECT 'award_criteria', description FROM award_criteria WHERE len(list_filter(regexp_split_to_array(description, '\\s+'), lambda w: w <> '')) >= 20)"""
+    return {
+        "p4_copies": f"SELECT src, copies, sum(copies)::BIGINT AS texts FROM (SELECT src, w, count(*) AS copies FROM (SELECT src, {words} AS w FROM {texts}) WHERE w <> '' GROUP BY src, w) GROUP BY src, copies",
+        "p7_kept": "SELECT container_id, true AS within, true AS dense, true AS undivided, (SELECT count(*) FROM documents WHERE length(text) > 0) AS texts, true AS complete FROM container_sizes",
+        "p8_kept": "SELECT mix_id, source, true AS met, true AS repeats_kept FROM mix_targets",
+    }
