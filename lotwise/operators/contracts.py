@@ -44,11 +44,21 @@ def lookup(records: DataFrame, buyers: list[str], cpv: list[str] | None = None,
 def join_values(notices: DataFrame, records: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Notices (buyer_code, value) with records of the same buyer and amount.
 
-    The band on amounts is a residual of the equi-join on the buyer, so it stays a hash or merge join.
+    An equi-join on the buyer and a step of the amount as wide as the tolerance, looked up in the
+    neighbouring steps as well; so a buyer with many records is spread by their amounts. The exact
+    band is a residual. A record is met by its lot's amount or, where that is another, by the whole's:
+    each pair of rows once.
     """
+    step = lambda v: F.floor(v / tolerance).cast("bigint")
     amounts = records.withColumn("__lot", lenient(F.col("importo_lotto"))).withColumn("__whole", lenient(F.col("importo_complessivo_gara")))
-    near = (F.abs(F.col("__lot") - F.col("value")) < tolerance) | (F.abs(F.col("__whole") - F.col("value")) < tolerance)
-    return notices.join(amounts, (F.col("buyer_code") == F.col("cf_amministrazione_appaltante")) & near).drop("__lot", "__whole")
+    spread = amounts.withColumn("__step", F.explode(F.array_distinct(F.array_compact(F.array(step(F.col("__lot")), step(F.col("__whole")))))))
+    around = step(F.col("value"))
+    asked = notices.withColumn("__at", F.explode(F.array_compact(F.array(around - 1, around, around + 1))))
+    by_lot = F.coalesce(F.abs(F.col("__lot") - F.col("value")) < tolerance, F.lit(False))
+    by_whole = F.abs(F.col("__whole") - F.col("value")) < tolerance
+    near = (by_lot & (F.col("__step") == step(F.col("__lot")))) | (~by_lot & by_whole & (F.col("__step") == step(F.col("__whole"))))
+    same = (F.col("buyer_code") == F.col("cf_amministrazione_appaltante")) & (F.col("__at") == F.col("__step"))
+    return asked.join(spread, same & near).drop("__lot", "__whole", "__step", "__at")
 
 
 # The fields of a record; the file writes one of them in capitals.

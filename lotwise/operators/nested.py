@@ -115,6 +115,21 @@ def _walk(ix: structure.Index, spec: list[Child], within: dict[int, tuple[str, i
     return out
 
 
+def plain_key(name: str) -> str:
+    """A key without regard to case and the marks between its words."""
+    return re.sub(r"[^a-z0-9]", "", name.lower())
+
+
+def fields(raw: Column, names: list[str]) -> list[Column]:
+    """The values of a record's own text, by field: text, nested values as JSON; null if absent or null.
+
+    Keys count however their words are joined; of several spellings of one key the last counts.
+    """
+    entries = F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").alias("key"), e["value"].alias("value")))
+    of = lambda n: F.get(F.filter(entries, lambda e: e["key"] == plain_key(n)), F.size(F.filter(entries, lambda e: e["key"] == plain_key(n))) - 1)["value"]
+    return [of(n).alias(n) for n in names]
+
+
 def shred(df: DataFrame, keys: list[str], body: str | Column, spec: list[Child], raw: bool = False) -> DataFrame:
     """``keys``, child, parent_pos, pos (and raw): one row for each child record of each text.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.markup import MarkupError, Node, clean, events, tree
@@ -104,6 +104,12 @@ def _human(reference: str) -> bool:
     return bool(reference) and len(reference.encode()) <= 40 and not (len(reference) == 36 and reference.count("-") == 4)
 
 
+def human_reference(reference: Column) -> Column:
+    """:func:`_human` of a column, natively."""
+    generated = (F.length(reference) == 36) & (F.length(reference) - F.length(F.replace(reference, F.lit("-"), F.lit(""))) == 4)
+    return F.coalesce((reference != "") & (F.octet_length(reference) <= 40) & ~generated, F.lit(False))
+
+
 def _deadline(node: Node) -> tuple[str, str]:
     period = ("TenderingProcess", "TenderSubmissionDeadlinePeriod")
     return node.last(*period, "EndDate")[:10], node.last(*period, "EndTime")[:5]

@@ -265,6 +265,33 @@ def parse(query: str, columns: Columns | None = None, hierarchy: bool = False) -
     return out
 
 
+SCOPES = ("ALL", "LATEST", "ACTIVE")
+
+
+def in_scope(notices: DataFrame, scope: str = "ALL", as_of: str | None = None, key: str = "publication_number", version: str = "loaded_at", columns: Columns | None = None) -> DataFrame:
+    """The notices of a scope: ALL rows, the LATEST of each number by ``version``, or those of them ACTIVE.
+
+    A notice is active if a deadline of its latest row is on or after the day ``as_of``, which has to be
+    given; one without a readable deadline isn't. Rows without a version are older than any; of
+    equal ones the row whose values are greatest in order of the columns is kept.
+    """
+    name = (scope.strip() or "ALL").upper()
+    if name not in SCOPES:
+        raise QueryError(f"scope must be one of {', '.join(SCOPES)}, not {scope!r}")
+    if name == "ALL":
+        return notices
+    if version not in notices.columns:
+        raise QueryError(f"scope {name} needs a column {version} that tells versions of a notice apart")
+    rest = [c for c in notices.columns if c not in (key, version)]
+    # a hot number is folded on the map side: no window over all its rows
+    newest = notices.groupBy(key).agg(F.max(F.struct(version, *rest)).alias("__row")).select(*[F.col(key) if c == key else F.col(f"__row.{c}").alias(c) for c in notices.columns])
+    if name == "LATEST":
+        return newest
+    if not (as_of or "").strip():
+        raise QueryError("scope ACTIVE needs the day it is asked for")
+    return newest.filter(_deadline(columns or Columns(), ">=", compact_date(as_of)))
+
+
 def search(notices: DataFrame, filters: Filters, page: int = 1, limit: int = 20, key: str = "publication_number", columns: Columns | None = None) -> tuple[DataFrame, DataFrame]:
     """(the page asked for, a one-row count of all that match); ties are put in order of the key."""
     c = columns or Columns()

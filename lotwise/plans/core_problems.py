@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.operators import quantities, timestamps
-from lotwise.operators.nested import Child, shred
+from lotwise.operators.nested import Child, fields, shred
 from lotwise.sources.tables import read
 
 
@@ -77,14 +77,45 @@ DOSSIER_CHILDREN = [
     Child("lot", "lots"),
     Child("criterion", "criteria", "lot"),
 ]
+#: What a reader looks for in each kind of record.
+DOSSIER_FIELDS = {
+    "organization": ["id", "name", "company_id", "roles", "email", "phone", "website", "city", "country"],
+    "lot": ["id", "title", "value", "currency", "cpv", "deadline_date", "deadline_time", "documents_url", "submission_url"],
+    "criterion": ["type", "name", "description", "weight", "lang"],
+    "link": ["url", "role", "note"],
+}
+
+
+def _dossier_children(spark: SparkSession, folder: str, raw: bool, spec: list[Child] | None = None) -> DataFrame:
+    spec = spec or DOSSIER_CHILDREN
+    roots = [c.key for c in spec if c.parent is None]
+    typed = read(spark, folder, "dossiers").select(F.lit("dossiers").alias("src"), "dossier_id", F.to_json(F.struct(*roots), {"ignoreNullFields": "false"}).alias("body"))
+    text = read(spark, folder, "dossier_json").select(F.lit("dossier_json").alias("src"), "dossier_id", "body")
+    return shred(typed.unionByName(text), ["src", "dossier_id"], "body", spec, raw)
 
 
-def _dossier_children(spark: SparkSession, folder: str, raw: bool) -> DataFrame:
-    typed = read(spark, folder, "dossiers").select(
-        F.lit("dossiers").alias("src"), "dossier_id", F.to_json(F.struct("organizations", "lots"), {"ignoreNullFields": "false"}).alias("body")
-    )
-    text = read(spark, folder, "dossier_json").select(F.lit("dossier_json").alias("src"), "dossier_id", "body")
-    return shred(typed.unionByName(text), ["src", "dossier_id"], "body", DOSSIER_CHILDREN, raw)
+def dossier_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The flat tables of all dossiers, by kind: their keys (src, dossier_id, parent_pos, pos) and all fields as text.
+
+    Lists among the fields (roles, cpv) are JSON text. The records are found once: store the frame they
+    share before several tables are written.
+    """
+    found = _dossier_children(spark, folder, True, [*DOSSIER_CHILDREN, Child("link", "links")])
+    return {kind: found.filter(F.col("child") == kind).select("src", "dossier_id", "parent_pos", "pos", *fields(F.col("raw"), names)) for kind, names in DOSSIER_FIELDS.items()}
+
+
+def _typed_table(kind: str):
+    lists = ("roles", "cpv")
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        rows = dossier_tables(spark, folder)[kind].filter("src = 'dossiers'")
+        value = lambda c: F.array_join(F.from_json(c, "array<string>"), "|").alias(c) if c in lists else F.col(c)
+        place = [F.col(c).cast("bigint").alias(c) for c in ("parent_pos", "pos")]
+        return rows.select("dossier_id", *place, *[value(c) for c in DOSSIER_FIELDS[kind]])
+
+    query.__name__ = "p3_criteria" if kind == "criterion" else f"p3_{kind}s"
+    query.__doc__ = f"The flat table of the {kind}s of the typed dossiers, with their parents."
+    return query
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,4 +143,20 @@ def p3_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_rows": p3_rows}
+    tables = [_typed_table(kind) for kind in ("organization", "lot", "criterion", "link")]
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_rows": p3_rows, **{f.__name__: f for f in tables}}
+
+
+def oracle_sql() -> dict[str, str]:
+    def of(source: str, kind: str, parent: str = "0") -> str:
+        value = lambda c: f"array_to_string(x.{c}, '|') AS {c}" if c in ("roles", "cpv") else f"x.{c} AS {c}"
+        return f"SELECT dossier_id, {parent}::BIGINT AS parent_pos, k::BIGINT AS pos, {', '.join(map(value, DOSSIER_FIELDS[kind]))} FROM ({source}) WHERE x IS NOT NULL"
+
+    each = lambda c: f"SELECT dossier_id, unnest({c}) AS x, generate_subscripts({c}, 1) AS k FROM dossiers"
+    criteria = f"SELECT dossier_id, k AS parent, unnest(x.criteria) AS x, generate_subscripts(x.criteria, 1) AS k FROM ({each('lots')}) WHERE x IS NOT NULL"
+    return {
+        "p3_organizations": of(each("organizations"), "organization"),
+        "p3_lots": of(each("lots"), "lot"),
+        "p3_criteria": of(criteria, "criterion", "parent"),
+        "p3_links": of(each("links"), "link"),
+    }

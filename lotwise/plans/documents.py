@@ -18,6 +18,8 @@ from lotwise.plans import scan
 
 #: Roles whose pages are looked through for files.
 FOLLOWED = ("tender-documents", "buyer-profile", "requested")
+#: What became of addresses that brought no file.
+REFUSED = ("robots-denied", "captcha", "blocked", "error", "not-downloaded")
 
 
 def _page_links(pages: DataFrame, most: int) -> DataFrame:
@@ -64,14 +66,32 @@ def gather(links: DataFrame, fetched: DataFrame, files_most: int = 25, considere
     cut = texts.withColumn("text", F.when(lists, F.left("text", F.lit(index))).otherwise(F.col("text"))).withColumn("place", F.row_number().over(Window.partitionBy("tender").orderBy("seq", "part")))
     given = web.text_budget(cut.withColumnRenamed("truncated", "cut_by_limit"), ["tender"], "place", "text", each, total)
     read = given.select("tender", "seq", "part", "url", "role", "name", "kind", "status", "reason", "chars", F.col("given").alias("text"), (F.col("truncated") | F.col("cut_by_limit")).alias("truncated"), "withheld")
+    answer = F.when(~F.coalesce(F.col("url").rlike(r"^(?i)https?://[^/\s]+"), F.lit(False)), "error").otherwise(F.coalesce("fetch", F.lit("not-downloaded")))
     refused = whole.filter("fetch is null or fetch <> 'fetched'").select(
         "tender", "seq", F.lit(0).alias("part"), "url", "role", F.col("filename").alias("name"), F.lit(None).cast("string").alias("kind"),
-        F.coalesce("fetch", F.lit("not-downloaded")).alias("status"), web.human_check(F.col("content_type"), F.col("data").cast("string")).alias("reason"),
+        answer.alias("status"), web.human_check(F.col("content_type"), F.col("data").cast("string")).alias("reason"),
         F.lit(0).cast("bigint").alias("chars"), F.lit("").alias("text"), F.lit(False).alias("truncated"), F.lit(False).alias("withheld"),
     )
     return read.unionByName(refused), left
 
 
+def partition(documents: DataFrame, left: DataFrame) -> dict[str, DataFrame]:
+    """Gathered documents as inventory, unreadable and refused, without their texts.
+
+    A tender's files that the cap left out are one refused row of it, with their number as reason.
+    """
+    bare = documents.drop("text")
+    refused = F.col("status").isin(*REFUSED)
+    capped = left.select("tender", F.lit("not-downloaded").alias("status"), F.concat(F.col("skipped").cast("string"), F.lit(" more files were left out by the limit")).alias("reason"))
+    listing = F.col("role").isin(*FOLLOWED) & (F.col("kind") == "html")
+    readable = (F.col("status") == "extracted") & (F.col("chars") > 0)
+    return {
+        "inventory": bare.filter(readable & ~listing),
+        "unreadable": bare.filter(~refused & ~readable & ~F.coalesce(listing, F.lit(False))),
+        "refused": bare.filter(refused).select("tender", "url", "status", "reason").unionByName(capped, allowMissingColumns=True),
+    }
+
+
 def search(documents: DataFrame, languages: DataFrame, matcher, most: int = scan.MATCHES) -> tuple[DataFrame, DataFrame]:
     """(matches, one row a tender of counts and a note) of gathered documents.
 
@@ -80,7 +100,7 @@ def search(documents: DataFrame, languages: DataFrame, matcher, most: int = scan
     """
     rows = documents.join(languages, "tender", "left")
     readable = (F.col("status") == "extracted") & (F.col("chars") > 0)
-    refused = F.col("status").isin("robots-denied", "captcha", "blocked", "error", "not-downloaded")
+    refused = F.col("status").isin(*REFUSED)
     listing = F.col("role").isin(*FOLLOWED) & (F.col("kind") == "html")
     found = scan.evidence(rows.filter(readable & ~listing), matcher, ["tender"], ["seq", "part", "url", "name"])
     from lotwise.functions.textmatch import passage_key

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,11 @@ def stream_event_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events by day and kind, counted by a stream over the landed file with a watermark."""
     schema = read(spark, folder, "events").schema
     counted = ingest.event_counts(ingest.landing(spark, folder, schema, "events.parquet"))
-    name = f"event_counts_{uuid.uuid4().hex}"
-    writer = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    if shared := shared_folder(spark):  # the state must lie where all executors reach it
-        writer = writer.option("checkpointLocation", f"{shared}/{name}")
-    writer.start().awaitTermination()
-    return spark.table(name)
+    # state and result must lie where all executors reach them; only on one machine there may be no such folder
+    base = f"{shared_folder(spark) or tempfile.mkdtemp(prefix='lotwise-stream-')}/event_counts_{uuid.uuid4().hex}"
+    writer = counted.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/table"))
+    writer.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/table")
 
 
 def queries() -> dict:

@@ -15,19 +15,23 @@ from lotwise.operators.search import QueryError, clamp
 from lotwise.plans import documents, scan
 
 
-def search_tenders(notices: DataFrame, filters: selection.Filters, page: int = 1, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    return selection.search(notices, filters, page, limit)
+def search_tenders(notices: DataFrame, filters: selection.Filters, page: int = 1, limit: int = 20, scope: str = "ALL", as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one page, how many match) of the notices of a scope."""
+    return selection.search(selection.in_scope(notices, scope, as_of), filters, page, limit)
 
 
 def get_tender(notices: DataFrame, number: str) -> DataFrame:
     """The notice of a number; an error without one."""
     if not number.strip():
         raise QueryError("a publication number is needed")
-    return notices.filter(F.col("publication_number") == number.strip())
+    found = notices.filter(F.col("publication_number") == number.strip())
+    if found.isEmpty():
+        raise QueryError(f"no notice has the number {number.strip()!r}")
+    return found
 
 
 def get_tender_document(notice_files: DataFrame, number: str, form: str = "xml", language: str = "", most: int = 60_000) -> DataFrame:
-    """(publication_number, form, language, url, text, truncated) of one form of a notice.
+    """(publication_number, form, language, url, text, truncated, note) of one form of a notice.
 
     xml is of all languages, the others English unless said; of pdf only the address is given. The
     text is cut at ``most`` bytes, never within a character.
@@ -45,7 +49,8 @@ def get_tender_document(notice_files: DataFrame, number: str, form: str = "xml",
     def whole(values: pd.Series) -> pd.Series:
         return values.map(lambda d: bytes(d).decode("utf-8", "ignore"), na_action="ignore")
 
-    return rows.select("publication_number", "form", "language", "url", whole(F.substring(data, 1, n)).alias("text"), (F.octet_length("data") > n).alias("truncated"))
+    notes = {"html": "a page for people; the xml form has all fields", "pdf": "only the address is given", "xml": None}
+    return rows.select("publication_number", "form", "language", "url", whole(F.substring(data, 1, n)).alias("text"), (F.octet_length("data") > n).alias("truncated"), F.lit(notes[form]).cast("string").alias("note"))
 
 
 def get_tender_dossier(notice_xmls: DataFrame, numbers: list[str]) -> DataFrame:
@@ -53,15 +58,38 @@ def get_tender_dossier(notice_xmls: DataFrame, numbers: list[str]) -> DataFrame:
     return notice_xml.shred(selection.get_many(notice_xmls, numbers), "publication_number", "xml", "dossier")
 
 
-def fetch_tender_documents(links: DataFrame, fetched: DataFrame, all_roles: bool = False, files: int = 25, each: int = 20_000, total: int = 150_000) -> tuple[DataFrame, DataFrame]:
-    """Documents of tenders' links; without ``all_roles`` only of roles that lead to documents."""
-    chosen = links if all_roles else links.filter(F.col("role").isin("tender-documents", "submission-endpoint", "buyer-profile", "requested"))
-    return documents.gather(chosen, fetched, clamp(files, 25, 60), each=each, total=total)
+#: Roles of links that lead to documents.
+DOCUMENT_ROLES = (notice_xml.TENDER_DOCUMENTS, notice_xml.SUBMISSION, notice_xml.BUYER_PROFILE, "requested")
 
 
-def scan_tender_documents(links: DataFrame, fetched: DataFrame, languages: DataFrame, matcher, all_roles: bool = False) -> tuple[DataFrame, DataFrame]:
-    found, _ = fetch_tender_documents(links, fetched, all_roles, 60, 500_000, 500_000)
-    return documents.search(found, languages, matcher)
+def targets(links: DataFrame, all_roles: bool = False, urls: list[str] | None = None) -> DataFrame:
+    """What to request: a caller's own addresses (of tender "requested", or 0), else the notices' links."""
+    own = list(dict.fromkeys(u.strip() for u in urls or [] if u.strip()))
+    if urls and not own:
+        raise QueryError("none of the addresses says anything")
+    if own:
+        kind = dict(links.dtypes)["tender"]
+        rows = [("requested" if kind == "string" else 0, u, "requested", i) for i, u in enumerate(own, 1)]
+        return links.sparkSession.createDataFrame(rows, f"tender {kind}, url string, role string, seq bigint")
+    return links if all_roles else links.filter(F.col("role").isin(*DOCUMENT_ROLES))
+
+
+def fetch_tender_documents(
+    links: DataFrame, fetched: DataFrame, all_roles: bool = False, files: int = 25, each: int = 20_000, total: int = 150_000, urls: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Documents of tenders' links or of a caller's own addresses; without ``all_roles`` only of roles that lead to documents."""
+    return documents.gather(targets(links, all_roles, urls), fetched, clamp(files, 25, 60), each=each, total=total)
+
+
+def scan_tender_documents(links: DataFrame, fetched: DataFrame, languages: DataFrame, matcher, all_roles: bool = False, urls: list[str] | None = None) -> dict[str, DataFrame]:
+    """What was searched and found, by name: matches, tenders (counts and note), and the files in parts.
+
+    inventory has the files that were read, unreadable those that came but could not be, refused the
+    addresses and capped files that did not come; none of them carries text.
+    """
+    found, left = fetch_tender_documents(links, fetched, all_roles, 60, 500_000, 500_000, urls)
+    matches, tenders = documents.search(found, languages, matcher)
+    return {"matches": matches, "tenders": tenders, **documents.partition(found, left)}
 
 
 def lookup_contracts(records: DataFrame, buyers: list[str], cpv: list[str] | None = None, value: float | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -71,8 +99,12 @@ def lookup_contracts(records: DataFrame, buyers: list[str], cpv: list[str] | Non
     return found, stats.withColumn("note", note)
 
 
-def scan_tenders(notice_xmls: DataFrame, matcher, most: int = scan.MATCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, one row a notice, languages not searched) of notices (publication_number, xml)."""
+def scan_tenders(notice_xmls: DataFrame, matcher, most: int = scan.MATCHES, include_unmatched: bool = True, include_criteria: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, one row a notice, languages not searched) of notices (publication_number, xml).
+
+    Notices without a match are left out unless ``include_unmatched``; those that could not be read
+    are always rows, with a failure. ``include_criteria`` adds the criteria themselves.
+    """
     key = "publication_number"
     content = notice_xml.shred(notice_xmls, key, "xml", "content")
     grid = content.select(key, F.posexplode("criteria").alias("seq", "c"))
@@ -82,7 +114,10 @@ def scan_tenders(notice_xmls: DataFrame, matcher, most: int = scan.MATCHES) -> t
     # whole criteria are searched and cover other texts; only what is shown is cut
     matches = scan.notices(criteria, described.unionByName(texts), matcher, key, most).withColumn("snippet", F.when(F.col("tier") == 1, textmatch.truncate(F.col("snippet"), scan.CRITERION)).otherwise(F.col("snippet")))
     hits = matches.groupBy(key).agg(F.count("*").alias("matches"))
-    notices = content.select(key, "language", (F.size("criteria") > 0).alias("criteria_published"), "failure").join(hits, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    grids = ["criteria"] if include_criteria else []
+    notices = content.select(key, "language", (F.size("criteria") > 0).alias("criteria_published"), "failure", *grids).join(hits, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    if not include_unmatched:
+        notices = notices.filter("matches > 0 or failure is not null")
     return matches, notices, scan.uncovered(content.filter("failure is null"), matcher, "language")
 
 
