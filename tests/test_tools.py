@@ -60,7 +60,7 @@ def test_scopes(spark):
     df = spark.createDataFrame(rows, "publication_number string, loaded_at string, deadline string, n int")
     assert sorted(r.n for r in selection.in_scope(df, " latest ").collect()) == [2, 4, 5]
     assert [r.n for r in selection.in_scope(df, "ACTIVE", "2025-04-01").collect()] == [4] and selection.in_scope(df).count() == 5
-    page, total = tools.search_tenders(df, selection.Filters(deadline_from="2025-01-01"), scope="LATEST")
+    page, total = tools.search_tenders(df, selection.Filters(deadline_from="2025-01-01", sort_by="n"), scope="LATEST")
     assert total.first().total == 2 and page.columns == df.columns
     for bad in (lambda: selection.in_scope(df, "NEW"), lambda: selection.in_scope(df, "ACTIVE"), lambda: selection.in_scope(df.drop("loaded_at"), "LATEST")):
         with pytest.raises(QueryError):
