@@ -44,9 +44,11 @@ def title_words(text: str | None) -> tuple[list[str], list[str]]:
     """
     if not text:
         return [], []
-    low = unicodedata.normalize("NFKD", text.lower())
-    low = "".join(c for c in low if not unicodedata.combining(c))
-    low = re.sub(r"(?<=[a-z])\.(?=[a-z])", "", low)
+    low = text.lower()
+    if not low.isascii():
+        low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+    if "." in low:
+        low = re.sub(r"(?<=[a-z])\.(?=[a-z])", "", low)
     low = re.sub(r"\blotto\s+(\d+)", r" lot\1 ", re.sub(r"[^a-z0-9-]+", " ", low))
     low = _HEADS.sub(" ", low.replace(" - ", " "))
     found = low.split()
@@ -134,27 +136,35 @@ def buckets(around: bool) -> Column:
     return F.array_compact(F.array(*out))
 
 
-_SCHEMA = "id bigint, title array<bigint>, numbers bigint, whole bigint, code string, amount double, cpv string, day int"
+_SCHEMA = "id bigint, " + ", ".join(f"t{i} bigint" for i in range(CHUNKS)) + ", numbers bigint, whole bigint, code string, amount double, cpv string, day int"
 
 
 def encode(records: DataFrame) -> DataFrame:
     """Vectors of records (id, title, code, amount, cpv, date); any attribute may be null."""
 
+    def each(values: pd.Series, of) -> list:
+        """``of`` each value, worked out once for equal ones."""
+        codes, uniques = pd.factorize(values)
+        found = [*map(of, uniques), of(None)]
+        return [found[c] for c in codes]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = []
-            days: dict[str, int | None] = {}
-            for ident, title, code, amount, cpv, date in zip(*(frame[c] for c in ("id", "title", "code", "amount", "cpv", "date")), strict=True):
-                if date not in days:
-                    days[date] = day(date)
-                chunks, numbers, whole = vectors(title)
-                group = re.sub(r"\D", "", (cpv or "").split("-")[0])[:8] or None
-                rows.append((ident, chunks, numbers, whole, code_digits(code), amount if amount and amount >= 1 else None, group, days[date]))
-            out = pd.DataFrame(rows, columns=["id", "title", "numbers", "whole", "code", "amount", "cpv", "day"])
-            out["day"], out["whole"] = out["day"].astype("Int32"), pd.array([r[3] for r in rows], dtype="Int64")
+            titles = each(frame["title"], vectors)
+            out = pd.DataFrame({"id": frame["id"]})
+            for i in range(CHUNKS):
+                out[f"t{i}"] = pd.array([None if c is None else c[i] for c, _, _ in titles], dtype="Int64")
+            out["numbers"] = [n for _, n, _ in titles]
+            out["whole"] = pd.array([w for _, _, w in titles], dtype="Int64")
+            out["code"] = each(frame["code"], code_digits)
+            out["amount"] = frame["amount"].where(frame["amount"] >= 1)
+            out["cpv"] = each(frame["cpv"], lambda c: re.sub(r"\D", "", (c or "").split("-")[0])[:8] or None)
+            out["day"] = pd.array(each(frame["date"], day), dtype="Int32")
             yield out
 
-    return records.select("id", "title", "code", "amount", "cpv", "date").mapInPandas(run, _SCHEMA)
+    found = records.select("id", "title", "code", "amount", "cpv", "date").mapInPandas(run, _SCHEMA)
+    chunks = [f"t{i}" for i in range(CHUNKS)]
+    return found.withColumn("title", F.when(F.col("t0").isNotNull(), F.array(*chunks))).drop(*chunks).withColumn("amount", F.nanvl("amount", F.lit(None)))
 
 
 def _dice(a: Column, b: Column) -> Column:
