@@ -60,7 +60,9 @@ _FIELDS = {
     "total_value": "total-value", "winner_name": "winner-name",
 }
 _LISTS = {"cpv": "classification-cpv", "place_of_performance": "place-of-performance"}
-SUMMARY = ", ".join(f"{c} string" for c in _FIELDS) + ", cpv array<string>, place_of_performance array<string>, xml_url string, pdf_url string, html_url string"
+SUMMARY = ", ".join(f"{c} string" for c in _FIELDS) + ", cpv array<string>, place_of_performance array<string>, xml_url string, pdf_url string, html_url string, failure string"
+#: The part of an answer shown where it explains nothing, and the longest answer that is read, in characters.
+SHOWN, LONGEST = 500, 32 << 20
 
 
 def summary(notice: dict, base: str = "https://journal.example/en/notice/-/detail/") -> dict:
@@ -75,20 +77,49 @@ def summary(notice: dict, base: str = "https://journal.example/en/notice/-/detai
     return out
 
 
-def summaries(responses: DataFrame, body: str = "body") -> DataFrame:
-    """One row for each notice of captured search responses; unreadable responses give none."""
+def remote_error(text: str | None) -> str:
+    """What an answer that is no result says: its message and detail, else its beginning."""
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        found = None
+    if isinstance(found, dict):
+        said = [str(found[k]).strip() for k in ("message", "detail") if str(found.get(k) or "").strip()]
+        if said:
+            return ": ".join(said)
+    return (text or "").strip()[:SHOWN] or "the answer is empty"
+
+
+def _read(text: str | None) -> tuple[list[dict], str | None]:
+    """The notices of an answer, or why there are none to be had."""
+    if text is not None and len(text) > LONGEST:
+        return [], "the answer is too long"
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        return [], remote_error(text)
+    if isinstance(found, dict) and "notices" not in found and ("message" in found or not found.keys() & {*_FIELDS.values(), *_LISTS.values()}):
+        return [], remote_error(text)
+    notices = found.get("notices", [found]) if isinstance(found, dict) else found
+    return ([n for n in notices or [] if isinstance(n, dict)], None) if isinstance(notices, list | None) else ([], remote_error(text))
+
+
+def summaries(responses: DataFrame, body: str = "body", code: str | None = None) -> DataFrame:
+    """One row for each notice of captured search responses, and one with a ``failure`` for each that has none to give.
+
+    A response fails if it is null, empty, too long or no JSON, if it says what went wrong in place of
+    notices, or if its ``code``, where that column is named, isn't 200. An answer of no notices is no failure.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = []
-            for text in frame["body"]:
-                try:
-                    found = json.loads(text or "")
-                except ValueError:
-                    continue
-                notices = found.get("notices", [found]) if isinstance(found, dict) else found
-                rows += [summary(n) for n in notices or [] if isinstance(n, dict)]
+            rows: list[dict] = []
+            for text, answer in zip(frame["body"], frame["code"], strict=True):
+                notices, failure = _read(text) if answer == 200 else ([], remote_error(text))
+                rows += [{**summary(n), "failure": None} for n in notices]
+                rows += [{"failure": failure}] if failure else []
             if rows:
-                yield pd.DataFrame(rows)
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY.split(", ")]).astype(object).where(lambda x: x.notna(), None)
 
-    return responses.select(F.col(body).alias("body")).mapInPandas(run, SUMMARY)
+    answered = F.coalesce(F.col(code).cast("int"), F.lit(0)) if code else F.lit(200)
+    return responses.select(F.col(body).alias("body"), answered.alias("code")).mapInPandas(run, SUMMARY)

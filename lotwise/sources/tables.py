@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,6 +18,12 @@ def read(spark: SparkSession, folder: str, name: str, spread: bool = False) -> D
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
+def cache_folder(argument: str | None = None, variable: str = "LOTWISE_CACHE", default: str | None = None) -> str | None:
+    """Where documents are kept: the argument, else the environment variable, else the default; None for "off" and "none"."""
+    chosen = next((v.strip() for v in (argument, os.environ.get(variable), default) if v and v.strip()), None)
+    return None if chosen is None or chosen.lower() in ("off", "none") else chosen
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder all executors share, as the cluster names it; None where it is unset."""
     return spark.conf.get("spark.checkpoint.dir", None)

@@ -1,6 +1,7 @@
 from lotwise.functions import multilingual as L
 from lotwise.functions import textmatch as M
 from lotwise.plans import documents
+from lotwise.sources import tables
 from pyspark.sql import functions as F
 
 
@@ -12,9 +13,19 @@ def test_values_of_many_shapes(spark):
     assert [r[0] for r in df.select(L.pick_variant(F.col("t"))).collect()] == ["a", "m", None]
     body = '{"notices": [{"publication-number": "1-2025", "notice-title": {"eng": "T"}, "classification-cpv": ["1", "1", "2"], "publication-date": "2025-01-02+01:00", "links": {"xml": {"MUL": "x"}}}]}'
     rows = L.summaries(spark.createDataFrame([(body,), ("{",), (None,)], "body string")).collect()
+    assert sorted(r.failure for r in rows if r.failure) == ["the answer is empty", "{"]
+    rows = [r for r in rows if not r.failure]
     assert len(rows) == 1 and rows[0].title == "T" and rows[0].cpv == ["1", "2"] and rows[0].publication_date == "2025-01-02" and rows[0].xml_url == "x" and rows[0].html_url.endswith("/1-2025")
 
 
+def test_answers_without_notices(spark):
+    bodies = [('{"notices": []}', 200), ('{"message": "bad query", "detail": "near x"}', 400), ('{"notices": [{"publication-number": "1"}]}', 503), ("[1]", 200), ('"x"', 200), ("{}", 200), ('{"publication-number": "2"}', 200), ("x" * 900, None)]
+    got = L.summaries(spark.createDataFrame(bodies, "body string, code int"), code="code").collect()
+    assert [r.publication_number for r in got if not r.failure] == ["2"]
+    assert sorted(len(r.failure) if r.failure.startswith("xx") else r.failure for r in got if r.failure and not r.failure.startswith("xx")) == sorted(["bad query: near x", '{"notices": [{"publication-number": "1"}]}', '"x"', "{}"])
+    assert [len(r.failure) for r in got if r.failure and r.failure.startswith("xx")] == [500]
+
+
 PAGE = b"<a href='/files/allegato.txt'>A</a><a href='/files/disciplinare.txt'>D</a><a href='/files/other.txt'>O</a><a href='/about'>x</a><a href='http://else.org/f.txt'>e</a>"
 
 
@@ -40,3 +51,10 @@ def test_gathering(spark):
     assert [(r.tender, r.name, r.term) for r in matches.collect()] == [("t", "disciplinare.txt", "led")]
     notes = {r.tender: (r.files, r.readable, r.refused, r.matches, r.note) for r in counts.collect()}
     assert notes["u"] == (1, 0, 1, 0, "nothing was retrieved") and notes["t"][:4] == (4, 3, 1, 1)
+
+
+def test_cache_folder(monkeypatch):
+    monkeypatch.delenv("LOTWISE_CACHE", raising=False)
+    assert tables.cache_folder() is None and tables.cache_folder(" ", default="/d") == "/d" and tables.cache_folder("OFF", default="/d") is None
+    monkeypatch.setenv("LOTWISE_CACHE", "/e")
+    assert tables.cache_folder(default="/d") == "/e" and tables.cache_folder("/a") == "/a"
