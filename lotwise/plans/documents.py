@@ -63,8 +63,8 @@ def gather(links: DataFrame, fetched: DataFrame, files_most: int = 25, considere
     name = F.coalesce(F.nullif("filename", F.lit("")), F.nullif(web.base_name(web.path(F.col("url"))), F.lit("")), F.col("url"))
     texts = extract.extract_files(ready.withColumn("name", name), "at").withColumnRenamed("seq", "part").select("at.*", "part", *[c.split()[0] for c in extract.SCHEMA.split(", ")])
     lists = F.col("role").isin(*FOLLOWED) & (F.col("kind") == "html")
-    cut = texts.withColumn("text", F.when(lists, F.left("text", F.lit(index))).otherwise(F.col("text"))).withColumn("place", F.row_number().over(Window.partitionBy("tender").orderBy("seq", "part")))
-    given = web.text_budget(cut.withColumnRenamed("truncated", "cut_by_limit"), ["tender"], "place", "text", each, total)
+    cut = texts.withColumn("text", F.when(lists, F.left("text", F.lit(index))).otherwise(F.col("text")))
+    given = web.text_budget(cut.withColumnRenamed("truncated", "cut_by_limit"), ["tender"], ["seq", "part"], "text", each, total)
     read = given.select("tender", "seq", "part", "url", "role", "name", "kind", "status", "reason", "chars", F.col("given").alias("text"), (F.col("truncated") | F.col("cut_by_limit")).alias("truncated"), "withheld")
     answer = F.when(~F.coalesce(F.col("url").rlike(r"^(?i)https?://[^/\s]+"), F.lit(False)), "error").otherwise(F.coalesce("fetch", F.lit("not-downloaded")))
     refused = whole.filter("fetch is null or fetch <> 'fetched'").select(

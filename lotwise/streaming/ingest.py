@@ -15,21 +15,14 @@ def landing(spark: SparkSession, folder: str, schema: StructType, pattern: str |
 
 
 def append_new(stream: DataFrame, key: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append the records whose key the target table (a parquet folder) doesn't hold yet, then stop.
+    """Append the records whose key this stream hasn't seen yet to a parquet folder, then stop.
 
-    A key names one immutable record, so what is there already is passed over: within a batch the
-    first is kept, across batches an anti-join on the key decides. Null keys are dropped.
+    A key names one immutable record, so what came before is passed over, in this run or an earlier
+    one with the same ``checkpoint``; of one batch any is kept. The keys seen are the stream's state, so
+    the target is never read again, and a batch that is run twice is written once. Null keys are dropped.
     """
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-        new.write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = stream.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    return new.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_counts(events: DataFrame, at: str = "ts", kind: str = "event_type", every: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -224,6 +224,15 @@ def test_budgets_and_caps(spark):
     df = spark.createDataFrame([(1, "g", "aaaa"), (2, "g", None), (3, "g", "bbbb"), (4, "g", "cccc"), (5, "h", "dddd")], "id int, g string, text string")
     got = {r.id: (r.given, r.withheld) for r in web.text_budget(df, ["g"], "id", "text", 3, 5).collect()}
     assert got == {1: ("aaa", False), 2: ("", False), 3: ("bb", False), 4: ("", True), 5: ("ddd", False)}
+    many = spark.createDataFrame([(i, "g" if i % 3 else None, i % 5, str(i)) for i in range(-7, 90)], "n int, g string, v int, s string")
+    whole, cells = web.running(many, ["g"], ["s"], F.col("v"), "before"), web.running(many, ["g"], ["n"], F.col("v"), "before", step=10)
+    for rows, order in ((whole.collect(), lambda r: r.s), (cells.collect(), lambda r: r.n)):
+        for g in ("g", None):
+            total = 0
+            for r in sorted((r for r in rows if r.g == g), key=order):
+                assert r.before == total
+                total += r.v
+    assert len(cells.columns) == 5
     kept, left = web.ranked_cap(df, ["g"], web.name_rank(F.col("text")), "id", 2)
     assert sorted(r.id for r in kept.collect()) == [1, 2, 5] and [(r.g, r.skipped) for r in left.collect()] == [("g", 2)]
     old = spark.createDataFrame([(i, f"2025-01-0{1 + i // 3} 00:00:0{i}", 10) for i in range(6)], "key int, at string, n long").withColumn("at", F.to_timestamp("at"))
@@ -304,3 +313,51 @@ def test_snapshot(spark, tmp_path):
     assert [tuple(r) for r in contracts.asked_by(buyers).collect()] == [("n", "7", None)]
     amounts = spark.createDataFrame([("n", "10.5"), ("x", "1")], "publication_number string, total_value string")
     assert [tuple(r) for r in contracts.asked_by(buyers, values=amounts).collect()] == [("n", "7", 10.5)]
+
+
+def _objects(*bodies, tail=b"trailer <</Root 1 0 R>>"):
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj " % (i + 1) + b + b" endobj\n" for i, b in enumerate(bodies)) + tail + b"\n%%EOF"
+
+
+def _stream(body, head=b""):
+    packed = zlib.compress(body)
+    return b"<</Length %d /Filter /FlateDecode " % len(packed) + head + b">> stream\n" + packed + b"\nendstream"
+
+
+CATALOG = (b"<</Type /Catalog /Pages 2 0 R>>", b"<</Type /Pages /Kids [4 0 R 3 0 R] /Resources <</Font <</F1 5 0 R /F2 6 0 R>> /XObject <</X 9 0 R>>>>>>")
+
+
+def test_pdf_fonts_pages_and_forms():
+    cmap = b"begincmap 1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <00480069> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00e8> <20ac>] endbfrange endcmap"
+    bodies = [
+        *CATALOG,
+        b"<</Type /Page /Contents [7 0 R]>>",
+        b"<</Type /Page /Contents 8 0 R>>",
+        b"<</Subtype /Type1 /FirstChar 65 /Widths [1000 250] /Encoding <</Differences [66 /eacute /uni20AC /space /fi /nonsense]>>>>",
+        b"<</Subtype /Type0 /ToUnicode 10 0 R /DescendantFonts [<</DW 500 /W [1 [1000] 16 18 500]>>]>>",
+        _stream(b"q 2 0 0 2 0 0 cm BT /F2 10 Tf 36 350 Td <00010010> Tj <00110012> Tj 40 0 Td <00200021> Tj ET Q BI /W 1 ID (x) Tj EI"),
+        _stream(b"BT /F1 10 Tf 1 0 0 1 72 700 Tm (A) Tj 10.5 0 Td (\\102C\\104E) Tj ET % (no) Tj\nBT /F1 10 Tf 72 660 Td [(A) -3000 (A)] TJ ET /X Do"),
+        _stream(b"BT /F1 10 Tf 0 0 Td (A) Tj ET", b"/Subtype /Form /Matrix [1 0 0 1 72 648]"),
+        _stream(cmap),
+    ]
+    got = extract.extract("x.pdf", "", _objects(*bodies))[0]
+    # the tree's order of pages; widths decide on blanks; a gap of three sizes is a column
+    assert (got.status, got.pages) == ("extracted", 2) and got.text == "Aé€ fi\n\nA   A\nA\n\nHiabc   è€"
+
+
+def test_pdf_objects_in_streams_and_failures():
+    first = b"<</Type /Page /Contents 6 0 R>>"
+    index = b"3 0 "
+    packed = _stream(index + first, b"/Type /ObjStm /N 1 /First %d" % len(index))
+    pages = b"<</Type /Pages /Kids [3 0 R]>>"
+    content = b"<</Length 8 0 R /Filter [/ASCIIHexDecode]>> stream\n" + b"BT 12 TL 0 0 Td (one) Tj (two) ' ET".hex().encode() + b">\nendstream"
+    got = extract.extract("x.pdf", "", _objects(CATALOG[0], pages, b"null", packed, b"5", content).replace(b"3 0 obj null endobj\n", b""))[0]
+    assert (got.status, got.text) == ("extracted", "one\ntwo")
+    locked = extract.extract("x.pdf", "", _objects(*CATALOG, tail=b"trailer <</Root 1 0 R /Encrypt 9 0 R>>"))[0]
+    assert locked.status == "encrypted"
+    bad = _objects(CATALOG[0], b"<</Type /Pages /Kids [3 0 R]>>", b"<</Type /Page /Contents 4 0 R>>", b"<</Filter /FlateDecode>> stream\nnot deflated\nendstream")
+    assert extract.extract("x.pdf", "", bad)[0].status == "damaged"
+    unmapped = _objects(CATALOG[0], b"<</Type /Pages /Kids [3 0 R]>>", b"<</Type /Page /Contents 4 0 R /Resources <</Font <</F 5 0 R>>>>>>", _stream(b"BT /F 9 Tf <0001> Tj ET"), b"<</Subtype /Type0>>")
+    assert extract.extract("x.pdf", "", unmapped)[0].status == "no-text-layer"
+    for junk in (b"%PDF-1.4\n1 0 obj (", b"%PDF-1.4\n1 0 obj << /A [ 1 2", b"%PDF-", b"%PDF-1.4 9 0 obj << /Type /Pages /Kids [9 0 R] >> endobj"):
+        assert extract.extract("x.pdf", "", junk)[0].status == "damaged"
