@@ -128,8 +128,8 @@ def choose(
 
     ``candidates``: array of structs of format, at and, if readings differ in likelihood, cost.
     ``order`` is the record's place in its source, a whole number. At the cost ``none`` (if given) a
-    record may be left without an instant; it gives no row then. Records without a reading are left
-    out of the chain and of the result. ``span``: how far apart the first and the last place are at most;
+    record may be left without an instant; it gives no row then. Records without a reading or
+    a place are left out of the chain and of the result; those without a source are one source. ``span``: how far apart the first and the last place are at most;
     counted from ``df`` if it is not known. Ties in ``order`` are put in order of their least instants, of
     chains that cost the same the one of earlier listed readings is taken. An empty table gives an
     empty table.
@@ -138,7 +138,7 @@ def choose(
     c = F.col(candidates)
     form = F.col(f"{candidates}.format") if dict(df.select(F.get(c, F.lit(0))["format"].alias("f")).dtypes)["f"] == "int" else F.transform(c, lambda x: F.hash(x["format"]).bitwiseAND(F.lit(0x7FFFFFFF)))
     price = F.col(f"{candidates}.cost") if "cost" in fields else F.transform(c, lambda _: F.lit(0.0))
-    rows = df.filter(F.size(c) > 0).select(
+    rows = df.filter((F.size(c) > 0) & F.col(order).isNotNull()).select(
         F.col(source).alias("src"), F.col(order).cast("bigint").alias("pos"), F.floor(F.col(order).cast("bigint") / block).alias("block"),
         form.alias("f"), F.col(f"{candidates}.at").alias("t"), price.alias("p"),
     )

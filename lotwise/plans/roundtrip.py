@@ -20,7 +20,7 @@ from lotwise.functions import multilingual as L
 from lotwise.functions import textmatch as M
 from lotwise.operators import access, contracts, extract, notice_xml, web
 from lotwise.operators import search as S
-from lotwise.plans import documents, scan
+from lotwise.plans import documents, rendering, scan, tools
 from lotwise.plans.tender_queries import _SPACE, NEAR_A, NEAR_B, TERMS, _sql_by_language, _sql_hit, _sql_strip
 from lotwise.sources.tables import read
 
@@ -82,6 +82,8 @@ def notice(row: DataFrame) -> Column:
     )
     return tag(
         "Notice",
+        tag("ContractFolderID", escaped(F.col("internal_id"))),
+        tag("TenderingProcess", tag("ProcedureCode", escaped(F.col("procedure_type"))), tag("TenderSubmissionDeadlinePeriod", tag("EndDate", escaped(F.col("deadline_date"))), tag("EndTime", escaped(F.col("deadline_time"))))),
         "<NoticeLanguageCode>ita</NoticeLanguageCode><UBLExtensions><UBLExtension><ExtensionContent><EformsExtension>",
         tag("Organizations", each(F.col("organizations"), organization)),
         "</EformsExtension></ExtensionContent></UBLExtension></UBLExtensions>",
@@ -293,17 +295,22 @@ def fetch_statuses(spark: SparkSession, folder: str) -> DataFrame:
     return allowed.select("url", status.alias("status"))
 
 
-def gathered(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of tenders' links: each address once, its text, or why there is none."""
+def _requests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Tenders' links, and what came back for them."""
     lots = read(spark, folder, "lots")
     links = lots.select(F.col("publication_number").alias("tender"), F.posexplode(F.array("documents_url", "submission_url")).alias("k", "url"), "lot_row").filter(F.col("url").isNotNull())
-    links = links.select("tender", "url", F.when(F.col("k") == 0, "tender-documents").otherwise("submission").alias("role"), (F.col("lot_row") * 2 + F.col("k")).alias("seq"))
+    links = links.select("tender", "url", F.when(F.col("k") == 0, "tender-documents").otherwise("submission-endpoint").alias("role"), (F.col("lot_row") * 2 + F.col("k")).alias("seq"))
     a = _answers(F.col("url"))
     fetched = _addresses(spark, folder).select(
         "url", a["code"].alias("code"), F.when(F.length("url") % 5 == 4, "text/html").otherwise("text/plain").alias("content_type"), F.lit(None).cast("string").alias("filename"),
         F.encode(a["body"], "UTF-8").alias("data"), F.lit(True).alias("allowed"), a["failed"].alias("failed"),
     )
-    found, _ = documents.gather(links, fetched, each=40, total=90)
+    return links, fetched
+
+
+def gathered(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of tenders' links: each address once, its text, or why there is none."""
+    found, _ = tools.fetch_tender_documents(*_requests(spark, folder), each=40, total=90)
     return found.select(F.col("tender").alias("publication_number"), "url", "role", "status", "chars", F.length("text").cast("bigint").alias("given"), "withheld")
 
 
@@ -321,6 +328,47 @@ def tender_partition(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select(F.col("tender").alias("publication_number"), "files", "readable", "refused", "unreadable", "withheld", "matches", "note")
 
 
+def tender_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of tenders' links in parts: read, refused and unreadable, counted by tender."""
+    links, fetched = _requests(spark, folder)
+    languages = links.select("tender", F.lit("ITA").alias("lang")).distinct()
+    parts = tools.scan_tender_documents(links, fetched, languages, M.matcher({"ITA": ["procedure/"]}))
+    rows = [parts[p].select(F.col("tender").alias("publication_number"), F.lit(p).alias("part"), "status") for p in ("inventory", "unreadable", "refused")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("publication_number", "part", "status").agg(F.count("*").alias("files"))
+
+
+# --- requests of one tender -----------------------------------------------------------------
+
+
+def tender_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of the latest notices of a country."""
+    rows = read(spark, folder, "notices").select("publication_number", "loaded_at", "notice_row", "publication_date", "buyer_country", "title")
+    page, _ = tools.search_tenders(rows, S.Filters(country=["ita"], order="asc"), page=2, limit=15, scope="latest")
+    return page.select("publication_number", "notice_row", "title")
+
+
+def tender(spark: SparkSession, folder: str) -> DataFrame:
+    """The notice of the least number."""
+    rows = read(spark, folder, "notices")
+    number = rows.agg(F.min("publication_number")).first()[0]
+    return tools.get_tender(rows, number).select("publication_number", "notice_row", "title")
+
+
+def tender_dossiers(spark: SparkSession, folder: str) -> DataFrame:
+    """The procedures of the notices numbered 0 to 399."""
+    xml = _xml(spark, folder).withColumn("publication_number", F.col("dossier_id").cast("string"))
+    found = tools.get_tender_dossier(xml, [str(i) for i in range(400)])
+    return found.select(F.col("publication_number").cast("bigint").alias("dossier_id"), "internal_id", "procedure_type", "deadline_date", "deadline_time")
+
+
+def lookup_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Why a lookup found nothing."""
+    records = read(spark, folder, "contracts")
+    asked = {"fits": ([BUYERS[0]], None), "other": ([BUYERS[0]], ["00"]), "absent": (["no code"], None)}
+    rows = [tools.lookup_contracts(records, *a)[1].select(F.lit(k).alias("asked"), F.coalesce("note", F.lit("")).alias("note")) for k, a in asked.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 # --- snapshots and selection ----------------------------------------------------------------
 
 
@@ -408,15 +456,11 @@ def cache_use(spark: SparkSession, folder: str) -> DataFrame:
 def envelopes(spark: SparkSession, folder: str) -> DataFrame:
     """The lookup's answer as one JSON text with its records and counts."""
     found, stats = contracts.lookup(read(spark, folder, "contracts"), BUYERS, CODES, limit=50)
-    from lotwise.plans import rendering
-
     return rendering.envelope(found.select("cig", "cod_cpv", "importo_lotto"), stats, order=["cig", "cod_cpv", "importo_lotto"])
 
 
 def rendered_notices(spark: SparkSession, folder: str) -> DataFrame:
     """Notices as people read them in a list."""
-    from lotwise.plans import rendering
-
     return read(spark, folder, "notices").select("notice_row", rendering.notice_lines().alias("text"))
 
 
@@ -432,8 +476,6 @@ def matcher_descriptions(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_report(spark: SparkSession, folder: str) -> DataFrame:
     """One row a notice scanned: whether its criteria are published, what matched, in which language."""
-    from lotwise.plans import tools
-
     xml = _xml(spark, folder, cut=True).withColumnRenamed("dossier_id", "publication_number")
     _, notices, _ = tools.scan_tenders(xml, M.matcher({"ITA": TERMS["IT"]}), include_unmatched=True)
     return notices.select(F.col("publication_number").alias("dossier_id"), "criteria_published", (F.col("matches") > 0).alias("matched"), F.col("failure").isNotNull().alias("failed"))
@@ -441,8 +483,6 @@ def scan_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def tender_files(spark: SparkSession, folder: str) -> DataFrame:
     """One form of a tender's files, as text of so many bytes."""
-    from lotwise.plans import tools
-
     rows = read(spark, folder, "documents").filter(F.col("text").isNotNull()).withColumn("form", F.lit("xml")).withColumn("language", F.lit("MUL")).withColumn("url", F.concat(F.lit("https://x.example/"), "doc_id"))
     files = rows.select(F.lit("1-2025").alias("publication_number"), "form", "language", "url", F.encode(F.replace("text", F.lit("à"), F.lit("a")), "UTF-8").alias("data"))
     return tools.get_tender_document(files, " 1-2025 ", most=300).select("url", "truncated", (F.octet_length("text") <= 300).alias("fits"))
@@ -456,8 +496,6 @@ def search_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 def uncovered_text(spark: SparkSession, folder: str) -> DataFrame:
     """The languages that English terms leave unsearched, as one text."""
-    from lotwise.plans import rendering
-
     return rendering.language_list(scan.uncovered(read(spark, folder, "documents"), M.matcher({"EN": ["street"]})))
 
 
@@ -466,6 +504,7 @@ def queries() -> dict:
         xml_organizations, xml_lots, xml_criteria, xml_links, xml_failures, buyer_contracts, html_text, extracted_files, archive_members, pdf_text, page_links,
         robots_decisions, url_parts, fetch_statuses, gathered, tender_partition, snapshot_lookup, snapshot_stats, notice_responses, search_deadline, search_hierarchy,
         cache_use, envelopes, rendered_notices, human_references, matcher_descriptions, scan_report, tender_files, search_scope, uncovered_text,
+        tender_parts, tender_page, tender, tender_dossiers, lookup_notes,
     ]
     return {f.__name__: f for f in own}
 
@@ -535,7 +574,7 @@ def oracle_sql() -> dict[str, str]:
         "gathered": f"""SELECT publication_number, url, role, CASE WHEN {size} = 3 THEN 'error' WHEN {size} IN (1, 2) THEN 'blocked' WHEN {size} = 4 THEN 'captcha' ELSE 'extracted' END AS status, CASE WHEN {size} = 0 THEN 6 + length(url) ELSE 0 END AS chars,
             CASE WHEN {size} = 0 THEN greatest(least(least(6 + length(url), 40), 90 - spent), 0) ELSE 0 END AS given, {size} = 0 AND spent >= 90 AS withheld FROM (
             SELECT *, coalesce(sum(CASE WHEN {size} = 0 THEN least(6 + length(url), 40) ELSE 0 END) OVER (PARTITION BY publication_number ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM (
-            SELECT publication_number, url, arg_min(role, seq) AS role, min(seq) AS seq FROM (SELECT publication_number, documents_url AS url, 'tender-documents' AS role, lot_row * 2 AS seq FROM lots UNION ALL SELECT publication_number, submission_url, 'submission', lot_row * 2 + 1 FROM lots) WHERE url IS NOT NULL GROUP BY 1, 2))""",
+            SELECT publication_number, url, arg_min(role, seq) AS role, min(seq) AS seq FROM (SELECT publication_number, documents_url AS url, 'tender-documents' AS role, lot_row * 2 AS seq FROM lots UNION ALL SELECT publication_number, submission_url, 'submission-endpoint', lot_row * 2 + 1 FROM lots) WHERE url IS NOT NULL GROUP BY 1, 2))""",
         "tender_partition": f"""SELECT publication_number, count(*) AS files, count(*) FILTER (s = 'extracted' AND length(text) > 0) AS readable, count(*) FILTER (s = 'blocked') AS refused, count(*) FILTER (s <> 'blocked' AND NOT coalesce(s = 'extracted' AND length(text) > 0, false)) AS unreadable,
             count(*) FILTER (n = 5) AS withheld, least(count(DISTINCT CASE WHEN s = 'extracted' AND start IS NOT NULL THEN key END), 12) AS matches,
             CASE WHEN count(*) = count(*) FILTER (s = 'blocked') THEN 'nothing was retrieved' WHEN count(*) FILTER (s = 'extracted' AND length(text) > 0) = 0 THEN 'nothing that was retrieved could be read' WHEN count(*) FILTER (n = 5) > 0 THEN 'some text was withheld by the limit'
@@ -560,6 +599,15 @@ def oracle_sql() -> dict[str, str]:
             coalesce(hit, false) AS matched FROM dossiers d LEFT JOIN (SELECT dossier_id, bool_or(contains(t, 'lampioni') OR contains(t, 'gasolio')) AS hit FROM (
             SELECT dossier_id, lower({clean("name")} || ' ' || {clean("description")}) AS t FROM {criteria} UNION ALL SELECT dossier_id, lower({clean("x.title")}) FROM {lots} UNION ALL SELECT dossier_id, lower({clean("name")}) FROM {organizations} UNION ALL SELECT dossier_id, lower({clean("city")}) FROM {organizations}) GROUP BY 1) h USING (dossier_id))""",
         "tender_files": "SELECT 'https://x.example/' || doc_id AS url, strlen(replace(text, 'à', 'a')) > 300 AS truncated, true AS fits FROM documents WHERE text IS NOT NULL",
+        "tender_parts": f"""SELECT publication_number, CASE WHEN status = 'extracted' THEN 'inventory' ELSE 'refused' END AS part, status, count(*) AS files FROM (SELECT publication_number, CASE WHEN {size} = 3 THEN 'error' WHEN {size} IN (1, 2) THEN 'blocked' WHEN {size} = 4 THEN 'captcha' ELSE 'extracted' END AS status
+            FROM (SELECT DISTINCT publication_number, url FROM (SELECT publication_number, documents_url AS url FROM lots UNION ALL SELECT publication_number, submission_url FROM lots) WHERE url IS NOT NULL)) GROUP BY 1, 2, 3""",
+        "tender_page": """SELECT publication_number, notice_row, title FROM (SELECT *, row_number() OVER (PARTITION BY publication_number ORDER BY loaded_at DESC, notice_row DESC) AS n FROM notices) WHERE n = 1 AND buyer_country = 'ITA'
+            ORDER BY publication_date NULLS LAST, publication_number LIMIT 15 OFFSET 15""",
+        "tender": "SELECT publication_number, notice_row, title FROM notices WHERE publication_number = (SELECT min(publication_number) FROM notices)",
+        "tender_dossiers": f"""SELECT dossier_id, {clean('internal_id')} AS internal_id, {clean('procedure_type')} AS procedure_type, CASE WHEN {clean('deadline_date')} <> '' THEN left({clean('deadline_date')}, 10) ELSE coalesce(left({clean('l.deadline_date')}, 10), '') END AS deadline_date,
+            CASE WHEN {clean('deadline_date')} <> '' THEN left({clean('deadline_time')}, 5) WHEN l.deadline_date IS NULL THEN '' ELSE left({clean('l.deadline_time')}, 5) END AS deadline_time
+            FROM (SELECT *, list_filter(coalesce(lots, []), lambda x: {clean('x.deadline_date')} <> '')[1] AS l FROM dossiers) WHERE dossier_id < 400""",
+        "lookup_notes": "SELECT * FROM (VALUES ('fits', ''), ('other', 'the buyer is there, but no record of it fits'), ('absent', 'the buyer is not in the snapshot')) t(asked, note)",
         "search_scope": "SELECT publication_number, notice_row FROM (SELECT *, row_number() OVER (PARTITION BY publication_number ORDER BY loaded_at DESC, notice_row DESC) AS n FROM notices) WHERE n = 1",
         "uncovered_text": "SELECT string_agg(l || ' (' || n || ')', ', ' ORDER BY l) AS text FROM (SELECT upper(trim(lang)) AS l, count(*) AS n FROM documents WHERE trim(coalesce(lang, '')) <> '' AND upper(trim(lang)) <> 'EN' GROUP BY 1)",
     }

@@ -87,6 +87,7 @@ def test_choose_across_blocks_and_levels(spark, monkeypatch):
     monkeypatch.setattr(timestamps, "FAN", 3)  # three levels of tables
     assert _chosen(spark, rows, block=4) == whole
     assert _chosen(spark, [("s", 1, None)]) == {}
+    assert _chosen(spark, [(None, 1, "03/04/2025 10:00"), (None, 2, "2025-01-01 10:00"), ("s", None, "2025-01-01 10:00")], block=1).keys() == {(None, 1), (None, 2)}
 
 
 def test_only_the_chain_decides(spark):
