@@ -37,6 +37,35 @@ def notice_lines() -> Column:
     )
 
 
+def contract_lines() -> Column:
+    """A contract record of a list."""
+    col = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return F.concat(
+        F.lit("cig "), first_non_empty(F.col("cig"), F.lit("-")), _line("tender", col("numero_gara"), "  "),
+        _line("subject", first_non_empty(F.col("oggetto_lotto"), F.col("oggetto_gara"))),
+        _line("amount", join_non_empty(" of ", col("importo_lotto"), col("importo_complessivo_gara"))),
+        _line("cpv", join_non_empty(" ", col("cod_cpv"), col("descrizione_cpv"))),
+        _line("published", col("data_pubblicazione")), _line("deadline", col("data_scadenza_offerta"), "  "),
+        _line("buyer", join_non_empty(" / ", col("denominazione_amministrazione_appaltante"), col("cf_amministrazione_appaltante"))),
+        _line("state", join_non_empty(" / ", col("stato"), col("esito"))),
+    )
+
+
+def file_lines() -> Column:
+    """An extracted file of a list: what it is, how long, and why it says nothing."""
+    return F.concat(
+        first_non_empty(F.col("name"), F.lit("(unnamed)")), F.when(F.col("container") != "", F.concat(F.lit(" in "), "container")).otherwise(""),
+        F.lit(" ["), F.col("kind"), F.lit(", "), F.col("status"), F.lit("]"),
+        F.when(F.col("chars") > 0, F.concat(F.lit("  "), F.col("chars").cast("string"), F.lit(" characters"))).otherwise(""),
+        F.when(F.col("truncated"), F.lit(", cut")).otherwise(""), _line("note", F.col("reason")),
+    )
+
+
+def match_line(where: Column, weight: Column, text: Column) -> Column:
+    """A passage that was found: the part of the notice it is in, what it weighs there, and the passage."""
+    return F.concat(F.lit("match ["), join_non_empty(", weight ", where, weight), F.lit("]: "), text)
+
+
 def criterion_line(weight: Column, text: Column, most: int = 160) -> Column:
     """A criterion in a list: its weight in brackets, and the beginning of its text."""
     return F.concat(F.lit("["), first_non_empty(weight, F.lit("-")), F.lit("] "), truncate(text, most))

@@ -201,7 +201,12 @@ def extracted_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Archives of four members and one within, in the order in which their names are sought."""
+    """The members of archives, in the order in which their names are sought."""
+    return extract.extract_files(_archives(spark, folder), "doc_id").select("doc_id", F.col("seq").cast("bigint").alias("seq"), "name", "container", "kind", "chars")
+
+
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives of four members, of which one is an archive."""
 
     @F.pandas_udf("binary")
     def data(texts: pd.Series) -> pd.Series:
@@ -218,8 +223,7 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
         return texts.map(one)
 
     rows = read(spark, folder, "documents", spread=True).filter(F.length(F.trim("text")) > 0)
-    files = rows.select("doc_id", F.lit("gara.zip").alias("name"), F.lit("application/zip").alias("content_type"), data("text").alias("data"))
-    return extract.extract_files(files, "doc_id").select("doc_id", F.col("seq").cast("bigint").alias("seq"), "name", "container", "kind", "chars")
+    return rows.select("doc_id", F.lit("gara.zip").alias("name"), F.lit("application/zip").alias("content_type"), data("text").alias("data"))
 
 
 def pdf_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -464,6 +468,57 @@ def rendered_notices(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "notices").select("notice_row", rendering.notice_lines().alias("text"))
 
 
+def rendered_contracts(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "contracts").select("record_id", rendering.contract_lines().alias("text"))
+
+
+def rendered_criteria(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "award_criteria", spread=True)
+    both = M.collapse(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
+    return rows.select("crit_row", rendering.criterion_line(F.col("weight"), both).alias("line"), rendering.match_line(F.lit("award criterion"), F.col("weight"), F.coalesce("name", F.lit(""))).alias("match"))
+
+
+def rendered_files(spark: SparkSession, folder: str) -> DataFrame:
+    found = extract.extract_files(_files(spark, folder), "doc_id", limits=extract.Limits(chars=900))
+    return found.filter("status = 'extracted'").select("doc_id", rendering.file_lines().alias("text"))
+
+
+def archive_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives of which only two members are read, and 50 characters of each; what is left out is one row."""
+    files = _archives(spark, folder)
+    found = extract.extract_files(files, "doc_id", limits=extract.Limits(members=2, chars=50))
+    return found.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "name", "status", "chars", F.length("text").cast("bigint").alias("given"), "truncated")
+
+
+def office_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as sheets, slides and texts of office programs, by their id."""
+
+    @F.pandas_udf("binary")
+    def data(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(i: int, text: str) -> bytes:
+            rows = [x.replace("&", "&amp;").replace("<", "&lt;") for x in text.split("\n")]
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                if i % 3 == 0:
+                    z.writestr("xl/workbook.xml", "<hidden>x</hidden>")
+                    z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>{x}</t></si>" for x in rows) + "</sst>")
+                elif i % 3 == 1:  # parts are read in order of their names
+                    z.writestr("ppt/slides/slide2.xml", "<p:sld><a:p><a:t>second</a:t></a:p></p:sld>")
+                    z.writestr("ppt/presentation.xml", "<hidden>x</hidden>")
+                    z.writestr("ppt/slides/slide1.xml", "<p:sld>" + "".join(f"<a:p><a:t>{x}</a:t></a:p>" for x in rows) + "</p:sld>")
+                else:
+                    z.writestr("mimetype", "application/vnd.oasis.opendocument.text")
+                    z.writestr("styles.xml", "<hidden>x</hidden>")
+                    z.writestr("content.xml", "<office:text>" + "".join(f"<text:p>{x}</text:p>" for x in rows) + "</office:text>")
+            return out.getvalue()
+
+        return pd.Series([one(*r) for r in zip(ids, texts, strict=True)], dtype=object)
+
+    rows = read(spark, folder, "documents", spread=True).filter(F.col("text").isNotNull())
+    files = rows.select("doc_id", F.lit("file.bin").alias("name"), F.lit("").alias("content_type"), data("doc_id", "text").alias("data"))
+    return extract.extract_files(files, "doc_id").select("doc_id", "kind", "status", "text")
+
+
 def human_references(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "contracts")
     return rows.select("record_id", notice_xml.human_reference(F.col("numero_gara")).alias("tender"), notice_xml.human_reference(F.col("oggetto_gara")).alias("subject"))
@@ -504,7 +559,7 @@ def queries() -> dict:
         xml_organizations, xml_lots, xml_criteria, xml_links, xml_failures, buyer_contracts, html_text, extracted_files, archive_members, pdf_text, page_links,
         robots_decisions, url_parts, fetch_statuses, gathered, tender_partition, snapshot_lookup, snapshot_stats, notice_responses, search_deadline, search_hierarchy,
         cache_use, envelopes, rendered_notices, human_references, matcher_descriptions, scan_report, tender_files, search_scope, uncovered_text,
-        tender_parts, tender_page, tender, tender_dossiers, lookup_notes,
+        rendered_contracts, rendered_criteria, rendered_files, archive_limits, office_files, tender_parts, tender_page, tender, tender_dossiers, lookup_notes,
     ]
     return {f.__name__: f for f in own}
 
@@ -541,7 +596,8 @@ def oracle_sql() -> dict[str, str]:
     line = lambda label, x, before=r"chr(10) || '   '": f"CASE WHEN coalesce({x}, '') <> '' THEN {before} || '{label}: ' || {x} ELSE '' END"
     found = f"(SELECT d.publication_number, doc_id, text, length(text) % 7 AS n, l, {start} AS start FROM (SELECT *, upper(trim(coalesce(lang2, ''))) AS l, {low} AS low FROM (SELECT d.*, m.lang2 FROM documents d JOIN (SELECT publication_number, max(upper(lang)) AS lang2 FROM documents GROUP BY 1) m USING (publication_number))) d)"
     status = "CASE WHEN text IS NULL THEN 'damaged' WHEN n = 3 THEN 'blocked' WHEN n = 4 THEN 'encrypted' ELSE 'extracted' END"
-    return {
+    filled = lambda mark, *cs: f"concat_ws('{mark}', " + ", ".join(f"CASE WHEN trim(coalesce({c}, '')) <> '' THEN {c} END" for c in cs) + ")"
+    out = {
         "xml_organizations": f"SELECT dossier_id, {', '.join(f'{clean(c)} AS {c}' for c in ('id', 'name', 'company_id', 'email', 'city', 'country'))}, CASE WHEN i = b AND b <> '' AND last = 1 THEN 'buyer' ELSE '' END AS roles FROM ({named}) WHERE i <> '' OR {clean('name')} <> ''",
         "xml_lots": f"""SELECT dossier_id, (k - 1)::BIGINT AS pos, {', '.join(f"{clean(f'x.{c}')} AS {c}" for c in ('id', 'title', 'value', 'documents_url', 'submission_url'))}, coalesce(x.currency, '') AS currency,
             left({clean('x.deadline_date')}, 10) AS deadline_date, left({clean('x.deadline_time')}, 5) AS deadline_time,
@@ -599,6 +655,20 @@ def oracle_sql() -> dict[str, str]:
             coalesce(hit, false) AS matched FROM dossiers d LEFT JOIN (SELECT dossier_id, bool_or(contains(t, 'lampioni') OR contains(t, 'gasolio')) AS hit FROM (
             SELECT dossier_id, lower({clean("name")} || ' ' || {clean("description")}) AS t FROM {criteria} UNION ALL SELECT dossier_id, lower({clean("x.title")}) FROM {lots} UNION ALL SELECT dossier_id, lower({clean("name")}) FROM {organizations} UNION ALL SELECT dossier_id, lower({clean("city")}) FROM {organizations}) GROUP BY 1) h USING (dossier_id))""",
         "tender_files": "SELECT 'https://x.example/' || doc_id AS url, strlen(replace(text, 'à', 'a')) > 300 AS truncated, true AS fits FROM documents WHERE text IS NOT NULL",
+        "rendered_contracts": f"""SELECT record_id, 'cig ' || CASE WHEN trim(coalesce(cig, '')) <> '' THEN cig ELSE '-' END || {line('tender', 'numero_gara', "'  '")}
+            || {line('subject', "CASE WHEN trim(coalesce(oggetto_lotto, '')) <> '' THEN oggetto_lotto WHEN trim(coalesce(oggetto_gara, '')) <> '' THEN oggetto_gara ELSE '' END")} || {line('amount', filled(' of ', 'importo_lotto', 'importo_complessivo_gara'))}
+            || {line('cpv', filled(' ', 'cod_cpv', 'descrizione_cpv'))} || {line('published', 'data_pubblicazione')} || {line('deadline', 'data_scadenza_offerta', "'  '")}
+            || {line('buyer', filled(' / ', 'denominazione_amministrazione_appaltante', 'cf_amministrazione_appaltante'))} || {line('state', filled(' / ', 'stato', 'esito'))} AS text FROM contracts""",
+        "rendered_criteria": f"""SELECT crit_row, '[' || CASE WHEN trim(coalesce(weight, '')) <> '' THEN weight ELSE '-' END || '] ' || CASE WHEN length(t) > 160 THEN {_sql_strip('left(t, 160)')} || '…' ELSE t END AS line,
+            'match [award criterion' || CASE WHEN trim(coalesce(weight, '')) <> '' THEN ', weight ' || weight ELSE '' END || ']: ' || coalesce(name, '') AS match
+            FROM (SELECT *, {clean("(coalesce(name, '') || ' ' || coalesce(description, ''))")} AS t FROM award_criteria)""",
+        "rendered_files": f"""SELECT doc_id, name || CASE WHEN container <> '' THEN ' in ' || container ELSE '' END || ' [' || kind || ', extracted]' || CASE WHEN chars > 0 THEN '  ' || chars || ' characters' ELSE '' END || CASE WHEN chars > 900 THEN ', cut' ELSE '' END
+            || CASE WHEN chars = 0 THEN chr(10) || '   note: ' || CASE kind WHEN 'docx' THEN 'no text is in it, perhaps its pages are pictures' ELSE 'the document holds no text' END ELSE '' END AS text
+            FROM (EXTRACTED) WHERE status = 'extracted'""",
+        "archive_limits": f"""SELECT doc_id, m.seq::BIGINT AS seq, m.name AS name, CASE m.seq WHEN 2 THEN 'unsupported' ELSE 'extracted' END AS status, CASE m.seq WHEN 0 THEN length({plain("text || '!'")}) WHEN 1 THEN length({plain('text')}) ELSE 0 END AS chars,
+            CASE m.seq WHEN 0 THEN least(length({plain("text || '!'")}), 50) WHEN 1 THEN least(length({plain('text')}), 50) ELSE 0 END AS given, CASE m.seq WHEN 0 THEN length({plain("text || '!'")}) > 50 WHEN 1 THEN length({plain('text')}) > 50 ELSE false END AS truncated
+            FROM documents, (VALUES (0, 'sub/disciplinare.txt'), (1, 'allegato.txt'), (2, '2 more')) m(seq, name) WHERE length(trim(text)) > 0""",
+        "office_files": f"""SELECT doc_id, ['xlsx', 'pptx', 'odf'][doc_id % 3 + 1] AS kind, 'extracted' AS status, CASE doc_id % 3 WHEN 1 THEN CASE WHEN t = '' THEN '' ELSE t || chr(10) || chr(10) END || 'second' ELSE t END AS text FROM (SELECT doc_id, {lines('text')} AS t FROM documents WHERE text IS NOT NULL)""",
         "tender_parts": f"""SELECT publication_number, CASE WHEN status = 'extracted' THEN 'inventory' ELSE 'refused' END AS part, status, count(*) AS files FROM (SELECT publication_number, CASE WHEN {size} = 3 THEN 'error' WHEN {size} IN (1, 2) THEN 'blocked' WHEN {size} = 4 THEN 'captcha' ELSE 'extracted' END AS status
             FROM (SELECT DISTINCT publication_number, url FROM (SELECT publication_number, documents_url AS url FROM lots UNION ALL SELECT publication_number, submission_url FROM lots) WHERE url IS NOT NULL)) GROUP BY 1, 2, 3""",
         "tender_page": """SELECT publication_number, notice_row, title FROM (SELECT *, row_number() OVER (PARTITION BY publication_number ORDER BY loaded_at DESC, notice_row DESC) AS n FROM notices) WHERE n = 1 AND buyer_country = 'ITA'
@@ -611,3 +681,5 @@ def oracle_sql() -> dict[str, str]:
         "search_scope": "SELECT publication_number, notice_row FROM (SELECT *, row_number() OVER (PARTITION BY publication_number ORDER BY loaded_at DESC, notice_row DESC) AS n FROM notices) WHERE n = 1",
         "uncovered_text": "SELECT string_agg(l || ' (' || n || ')', ', ' ORDER BY l) AS text FROM (SELECT upper(trim(lang)) AS l, count(*) AS n FROM documents WHERE trim(coalesce(lang, '')) <> '' AND upper(trim(lang)) <> 'EN' GROUP BY 1)",
     }
+    out["rendered_files"] = out["rendered_files"].replace("EXTRACTED", out["extracted_files"])
+    return out
