@@ -88,7 +88,14 @@ def parse_lines(lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def lookup_archives(archives: DataFrame, buyers: list[str], cpv: list[str] | None = None, value: float | None = None, limit: int = 50, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(records, one row of counts) of ZIP archives (path, content) of newline-delimited records.
+    """(records, one row of counts) of ZIP archives (path, content) of newline-delimited records; see :func:`lookup_lines`."""
+    from lotwise.sources.files import archive_lines
+
+    return lookup_lines(archive_lines(archives, [b.strip() for b in buyers if b.strip()]), buyers, cpv, value, limit, tolerance)
+
+
+def lookup_lines(lines: DataFrame, buyers: list[str], cpv: list[str] | None = None, value: float | None = None, limit: int = 50, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(records, one row of counts) of the lines of archives (path, member, place, line, lines, fault).
 
     A line is a candidate if it holds a buyer's code anywhere; only candidates are parsed. The counts
     cover all archives: scanned (blank lines as well), candidates, malformed of these with the first
@@ -98,10 +105,9 @@ def lookup_archives(archives: DataFrame, buyers: list[str], cpv: list[str] | Non
     wanted = [b.strip() for b in buyers if b.strip()]
     if not wanted:
         raise ValueError("a buyer's code is needed")
-    from lotwise.sources.files import archive_lines
-
-    rows = parse_lines(archive_lines(archives, wanted))
-    candidate = (F.col("line") != "") | F.col("fault").isNotNull()
+    rows = parse_lines(lines)
+    named = reduce(lambda a, b: a | b, [F.col("line").contains(b) for b in wanted])
+    candidate = (F.coalesce(F.col("line") != "", F.lit(False)) & named) | F.col("fault").isNotNull()
     lot, whole = lenient(F.col("importo_lotto")), lenient(F.col("importo_complessivo_gara"))
     fits = candidate & F.col("problem").isNull() & F.col("cf_amministrazione_appaltante").isin(wanted)
     prefixes = [p.strip() for p in cpv or [] if p.strip()]

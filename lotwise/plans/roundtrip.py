@@ -239,7 +239,7 @@ def pdf_text(spark: SparkSession, folder: str) -> DataFrame:
         return lines.map(one)
 
     lines = F.array_join(F.filter(F.array("cig", "cod_cpv", "stato"), lambda x: F.length(x) > 0), "\n")
-    files = read(spark, folder, "contracts").select("record_id", F.lit("x.pdf").alias("name"), F.lit("").alias("content_type"), data(lines).alias("data"))
+    files = read(spark, folder, "contracts", spread=True).select("record_id", F.lit("x.pdf").alias("name"), F.lit("").alias("content_type"), data(lines).alias("data"))
     return extract.extract_files(files, "record_id").select("record_id", "kind", "status", F.col("pages").cast("bigint").alias("pages"), "text")
 
 

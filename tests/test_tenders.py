@@ -309,6 +309,12 @@ def test_snapshot(spark, tmp_path):
     stored = files.read_files(spark, str(tmp_path), "*.zip").withColumnRenamed("data", "content")
     assert [r.cig for r in contracts.lookup_archives(stored, ["1"], ["34"])[0].collect()] == ["a", "f"]
     assert [(r.data, r.failure) for r in files.read_files(spark, str(tmp_path), most=3).collect()] == [(None, "the file is too long")]
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "no archive.zip").write_bytes(b"no")
+    apart, counts = contracts.lookup_lines(files.folder_lines(spark, str(tmp_path), needles=["1"]), ["1"], value=10.0)
+    assert [r.cig for r in apart.collect()] == ["a", "e", "f"] and counts.first().asDict() | {"first_problem": ""} == {"scanned": 8, "candidates": 7, "malformed": 3, "matched": 3, "first_problem": "", "limit_hit": False}
+    assert contracts.lookup_lines(files.folder_lines(spark, str(tmp_path)), ["1"], value=10.0)[1].first().candidates == 7  # without a prefilter
     buyers = spark.createDataFrame([("n", [("O1", " 7 ", ["buyer"]), ("O2", "8", ["buyer"])]), ("m", [("O1", "", ["buyer"])]), ("k", None)], "publication_number string, organizations array<struct<id:string,company_id:string,roles:array<string>>>")
     assert [tuple(r) for r in contracts.asked_by(buyers).collect()] == [("n", "7", None)]
     amounts = spark.createDataFrame([("n", "10.5"), ("x", "1")], "publication_number string, total_value string")
