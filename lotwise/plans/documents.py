@@ -1,7 +1,7 @@
 """A tender's documents: links, pages, files found on them, their text, and what was not read.
 
-Retrieval is no part of it: ``fetched`` (url, code, content_type, filename, data, allowed, failed)
-holds what came back for each address.
+Retrieval is no part of it: ``fetched`` (url, code, content_type, filename, data, allowed, failed, and
+perhaps disposition, from which missing file names are taken) holds what came back for each address.
 """
 
 from __future__ import annotations
@@ -44,7 +44,10 @@ def gather(links: DataFrame, fetched: DataFrame, files_most: int = 25, considere
     ``files_most`` a tender; the rest are counted. An address without an answer is not-downloaded.
     """
     status = web.fetch_status(F.col("code"), F.col("content_type"), F.col("data").cast("string"), F.coalesce("allowed", F.lit(True)), F.coalesce("failed", F.lit(False)))
-    answers = fetched.withColumn("fetch", status).dropDuplicates(["url"])
+    said = web.stated_name(F.col("disposition")) if "disposition" in fetched.columns else F.lit(None).cast("string")
+    named = fetched.withColumn("filename", F.coalesce(F.nullif("filename", F.lit("")), said)).withColumn("fetch", status)
+    why = web.fetch_reason(F.col("fetch"), F.col("code"), F.col("content_type"), F.col("data").cast("string"))
+    answers = named.withColumn("why", why).dropDuplicates(["url"])
     first = Window.partitionBy("tender", "url").orderBy("seq")
     targets = links.filter(F.length(F.trim("url")) > 0).withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
     got = targets.join(answers, "url", "left")
@@ -56,9 +59,8 @@ def gather(links: DataFrame, fetched: DataFrame, files_most: int = 25, considere
     rank = F.least(web.name_rank(F.col("url")), web.name_rank(F.col("label")))
     kept, left = web.ranked_cap(once, ["tender"], rank, "seq", files_most)
     files = kept.select("tender", "url", F.lit("tender-document").alias("role"), (F.lit(10**9) + F.col("place")).cast("bigint").alias("seq")).join(answers, "url", "left")
-    whole = got.select("tender", "url", "role", F.col("seq").cast("bigint").alias("seq"), "fetch", "content_type", "filename", "data").unionByName(
-        files.select("tender", "url", "role", "seq", "fetch", "content_type", "filename", "data")
-    )
+    columns = ["fetch", "why", "content_type", "filename", "data"]
+    whole = got.select("tender", "url", "role", F.col("seq").cast("bigint").alias("seq"), *columns).unionByName(files.select("tender", "url", "role", "seq", *columns))
     ready = whole.filter("fetch = 'fetched'").withColumn("at", F.struct("tender", "url", "role", "seq"))
     name = F.coalesce(F.nullif("filename", F.lit("")), F.nullif(web.base_name(web.path(F.col("url"))), F.lit("")), F.col("url"))
     texts = extract.extract_files(ready.withColumn("name", name), "at").withColumnRenamed("seq", "part").select("at.*", "part", *[c.split()[0] for c in extract.SCHEMA.split(", ")])
@@ -69,7 +71,7 @@ def gather(links: DataFrame, fetched: DataFrame, files_most: int = 25, considere
     answer = F.when(~F.coalesce(F.col("url").rlike(r"^(?i)https?://[^/\s]+"), F.lit(False)), "error").otherwise(F.coalesce("fetch", F.lit("not-downloaded")))
     refused = whole.filter("fetch is null or fetch <> 'fetched'").select(
         "tender", "seq", F.lit(0).alias("part"), "url", "role", F.col("filename").alias("name"), F.lit(None).cast("string").alias("kind"),
-        answer.alias("status"), web.human_check(F.col("content_type"), F.col("data").cast("string")).alias("reason"),
+        answer.alias("status"), F.when(answer == "not-downloaded", "it was not requested").when((answer == "error") & F.col("why").isNull(), "the address is malformed").otherwise(F.col("why")).alias("reason"),
         F.lit(0).cast("bigint").alias("chars"), F.lit("").alias("text"), F.lit(False).alias("truncated"), F.lit(False).alias("withheld"),
     )
     return read.unionByName(refused), left

@@ -296,7 +296,8 @@ def fetch_statuses(spark: SparkSession, folder: str) -> DataFrame:
     allowed = access.decide(urls, _robots(urls.select(web.host(F.col("url")).alias("host")).distinct()), "reader/1.0")
     a = _answers(F.col("url"))
     status = web.fetch_status(a["code"], F.lit("text/html"), a["body"], F.col("allowed") | F.col("failed"), a["failed"] | F.col("failed"))
-    return allowed.select("url", status.alias("status"))
+    found = allowed.select("url", status.alias("status"))
+    return found.withColumn("reason", web.fetch_reason(F.col("status"), a["code"], F.lit("text/html"), a["body"]))
 
 
 def _requests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -626,7 +627,8 @@ def oracle_sql() -> dict[str, str]:
         "robots_decisions": f"SELECT url, allowed, failed FROM {decided}",
         "url_parts": """SELECT lot_row, regexp_extract(documents_url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || CASE WHEN lot_row % 3 = 0 THEN '?id=7&x=y' ELSE '' END AS request,
             CASE WHEN lot_row % 2 = 0 AND lot_id IS NOT NULL THEN lot_id || '.pdf' ELSE nullif(regexp_extract(documents_url, '/([^/?#]*)$', 1), '') END AS file FROM lots WHERE documents_url IS NOT NULL""",
-        "fetch_statuses": f"SELECT url, CASE WHEN NOT (allowed OR failed) THEN 'robots-denied' WHEN failed OR {size} = 3 THEN 'error' WHEN {size} IN (1, 2) THEN 'blocked' WHEN {size} = 4 THEN 'captcha' ELSE 'fetched' END AS status FROM {decided}",
+        "fetch_statuses": f"""SELECT url, status, CASE status WHEN 'robots-denied' THEN 'robots.txt asks programs not to request it' WHEN 'error' THEN 'no answer came' WHEN 'blocked' THEN 'the answer was ' || CASE {size} WHEN 1 THEN '404' ELSE '503' END
+            WHEN 'captcha' THEN 'a puzzle (reCAPTCHA) is shown in place of the content' END AS reason FROM (SELECT url, CASE WHEN NOT (allowed OR failed) THEN 'robots-denied' WHEN failed OR {size} = 3 THEN 'error' WHEN {size} IN (1, 2) THEN 'blocked' WHEN {size} = 4 THEN 'captcha' ELSE 'fetched' END AS status FROM {decided})""",
         "gathered": f"""SELECT publication_number, url, role, CASE WHEN {size} = 3 THEN 'error' WHEN {size} IN (1, 2) THEN 'blocked' WHEN {size} = 4 THEN 'captcha' ELSE 'extracted' END AS status, CASE WHEN {size} = 0 THEN 6 + length(url) ELSE 0 END AS chars,
             CASE WHEN {size} = 0 THEN greatest(least(least(6 + length(url), 40), 90 - spent), 0) ELSE 0 END AS given, {size} = 0 AND spent >= 90 AS withheld FROM (
             SELECT *, coalesce(sum(CASE WHEN {size} = 0 THEN least(6 + length(url), 40) ELSE 0 END) OVER (PARTITION BY publication_number ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM (

@@ -41,6 +41,9 @@ def test_gathering(spark):
         ],
         "url string, code int, content_type string, filename string, data binary, allowed boolean, failed boolean",
     )
+    assert {r.reason for r in documents.gather(links, fetched)[0].filter("status = 'robots-denied'").collect()} == {"robots.txt asks programs not to request it"}
+    named = fetched.withColumn("disposition", F.lit('attachment; filename="stated.txt"'))
+    assert {r.name for r in documents.gather(links, named)[0].filter("status = 'extracted'").collect()} == {"stated.txt"}
     docs, left = documents.gather(links, fetched, files_most=2, total=60)
     rows = {(r.tender, r.url.rpartition("/")[2]): r for r in docs.collect()}
     assert {k: r.status for k, r in rows.items()} == {("t", "p"): "extracted", ("t", "no"): "captcha", ("t", "disciplinare.txt"): "extracted", ("t", "allegato.txt"): "extracted", ("u", "x"): "robots-denied"}
