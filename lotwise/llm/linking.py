@@ -1,13 +1,23 @@
 """Matching records of two tables that share no key, with a confidence for each match.
 
 Attributes are encoded as fixed bit vectors: the title's token q-grams in ``CHUNKS`` chunks of
-``WIDTH`` bits, every number of the title setting a bit in each chunk (numbers tell lots apart), the
-buyer's code and the category digit by digit. Close titles are found exactly by multi-index hashing:
-vectors at a Hamming distance below ``CHUNKS`` agree in a whole chunk. A chunk is looked up together
-with the code or the amount (within about 1 %), two chunks with the day; two of code, amount, day
-and category together, and titles that name one thing, find the rest. So buckets stay small however
-many records one buyer has. The Dice similarities of the pairs found are reduced to levels, and a
-two-class mixture fitted by EM to the counts of level patterns over all pairs gives each field's
+``WIDTH`` bits, every number of the title setting a bit in each chunk (numbers tell lots apart) and in
+a vector of their own, the buyer's code and the category's group one bit for each digit in its place;
+amounts are steps of 1 %, days the numbers they are.
+
+Close pairs are found exactly by multi-index hashing over these parts. Titles at a Hamming distance
+below ``CHUNKS`` agree in a whole chunk, so
+
+- titles within five bits are met if the code or the amount step (or the next to it) is the same,
+- titles within two bits (two neighbouring chunks agree) if the day is, up to one apart,
+- titles of the same words that name one thing by themselves, and
+- records of any titles if three of code, amount step, category group and day agree, days up to one apart
+  (code, amount and group; amount, day and group; amount, day and code).
+
+Chunks are never looked up alone, so buckets stay small however many records one buyer has.
+
+The Dice similarities of the vectors of each pair met, of amounts their ratio, are reduced to levels, and
+a two-class mixture fitted by EM to the counts of level patterns over all pairs gives each field's
 weight and each pattern's probability of being a match. A record's rivals then share its confidence.
 """
 
@@ -17,6 +27,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -104,6 +115,17 @@ def code_digits(text: str | None, length: int = 11) -> str | None:
     return digits.zfill(length) if length - 3 <= len(digits) <= length and digits.strip("0") else None
 
 
+def digit_bits(digits: str | None, places: tuple[int, ...]) -> list[int] | None:
+    """Vectors of so many places each in which every digit sets the bit of its place and value."""
+    if not digits:
+        return None
+    out, at = [], 0
+    for n in places:
+        out.append(sum(1 << (10 * i + int(c)) for i, c in enumerate(digits[at : at + n])))
+        at += n
+    return out
+
+
 def day(text: str | None) -> int | None:
     """The day of a written date, with or without a time of day."""
     if not text:
@@ -121,22 +143,24 @@ def buckets(around: bool) -> Column:
     step = F.floor(F.log("amount") / _STEP)
     steps = [step - 1, step, step + 1] if around else [step]
     days = [F.col("day") - 1, F.col("day"), F.col("day") + 1] if around else [F.col("day")]
-    group = F.left("cpv", F.lit(3))
+    group = F.col("cpv")
     have = lambda value, *needed: F.when(sum((F.col(c).isNull().cast("int") for c in needed), F.lit(0)) == 0, value)
-    chunk = [F.get("title", F.lit(i)) for i in range(CHUNKS)]
+    chunk = [F.col(c) for c in TITLE]
     out = []
     for s in steps:
-        out.append(have(F.xxhash64(F.lit(1), "code", s, group), "code", "amount", "cpv"))
+        out.append(have(F.xxhash64(F.lit(1), *CODE, s, group), "c0", "amount", "cpv"))
         out += [have(F.xxhash64(F.lit(5), s, d, group), "amount", "day", "cpv") for d in days]
-        out += [have(F.xxhash64(F.lit(6), s, d, "code"), "amount", "day", "code") for d in days]
-        out += [have(F.xxhash64(F.lit(3), s, F.lit(i), c), "amount", "title") for i, c in enumerate(chunk)]
-    out += [have(F.xxhash64(F.lit(2), "code", F.lit(i), c), "code", "title") for i, c in enumerate(chunk)]
+        out += [have(F.xxhash64(F.lit(6), s, d, *CODE), "amount", "day", "c0") for d in days]
+        out += [have(F.xxhash64(F.lit(3), s, F.lit(i), c), "amount", "t0") for i, c in enumerate(chunk)]
+    out += [have(F.xxhash64(F.lit(2), *CODE, F.lit(i), c), "c0", "t0") for i, c in enumerate(chunk)]
     out.append(have(F.xxhash64(F.lit(7), "whole"), "whole"))
-    out += [have(F.xxhash64(F.lit(4), d, F.lit(i), chunk[i], chunk[i + 1]), "day", "title") for i in range(0, CHUNKS, 2) for d in days]
+    out += [have(F.xxhash64(F.lit(4), d, F.lit(i), chunk[i], chunk[i + 1]), "day", "t0") for i in range(0, CHUNKS, 2) for d in days]
     return F.array_compact(F.array(*out))
 
 
-_SCHEMA = "id bigint, " + ", ".join(f"t{i} bigint" for i in range(CHUNKS)) + ", numbers bigint, whole bigint, code string, amount double, cpv string, day int"
+#: The columns of an encoded title and code; null together.
+TITLE, CODE = [f"t{i}" for i in range(CHUNKS)], ["c0", "c1"]
+_SCHEMA = "id bigint, " + ", ".join(f"{c} bigint" for c in TITLE) + ", numbers bigint, whole bigint, c0 bigint, c1 bigint, amount double, cpv bigint, day int"
 
 
 def encode(records: DataFrame) -> DataFrame:
@@ -156,15 +180,17 @@ def encode(records: DataFrame) -> DataFrame:
                 out[f"t{i}"] = pd.array([None if c is None else c[i] for c, _, _ in titles], dtype="Int64")
             out["numbers"] = [n for _, n, _ in titles]
             out["whole"] = pd.array([w for _, _, w in titles], dtype="Int64")
-            out["code"] = each(frame["code"], code_digits)
+            codes = each(frame["code"], lambda c: digit_bits(code_digits(c), (5, 6)))
+            for i in (0, 1):
+                out[f"c{i}"] = pd.array([None if c is None else c[i] for c in codes], dtype="Int64")
             out["amount"] = frame["amount"].where(frame["amount"] >= 1)
-            out["cpv"] = each(frame["cpv"], lambda c: re.sub(r"\D", "", (c or "").split("-")[0])[:8] or None)
+            groups = each(frame["cpv"], lambda c: digit_bits(re.sub(r"\D", "", (c or "").split("-")[0])[:3], (3,)))
+            out["cpv"] = pd.array([None if g is None else g[0] for g in groups], dtype="Int64")
             out["day"] = pd.array(each(frame["date"], day), dtype="Int32")
             yield out
 
     found = records.select("id", "title", "code", "amount", "cpv", "date").mapInPandas(run, _SCHEMA)
-    chunks = [f"t{i}" for i in range(CHUNKS)]
-    return found.withColumn("title", F.when(F.col("t0").isNotNull(), F.array(*chunks))).drop(*chunks).withColumn("amount", F.nanvl("amount", F.lit(None)))
+    return found.withColumn("amount", F.nanvl("amount", F.lit(None)))
 
 
 def _dice(a: Column, b: Column) -> Column:
@@ -173,23 +199,27 @@ def _dice(a: Column, b: Column) -> Column:
     return F.when(both > 0, 2 * F.bit_count(a.bitwiseAND(b)) / both)
 
 
-def _dice_chunks(a: Column, b: Column) -> Column:
-    count = lambda v: sum((F.bit_count(F.get(v, F.lit(i))) for i in range(1, CHUNKS)), F.bit_count(F.get(v, F.lit(0))))
-    same = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.get(b, F.lit(i)))) for i in range(1, CHUNKS)), F.bit_count(F.get(a, F.lit(0)).bitwiseAND(F.get(b, F.lit(0)))))
-    return 2 * same / (count(a) + count(b))
+def _bits(columns: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(c) for c in columns])
 
 
-def _inside(a: str, b: str) -> Column:
-    """The share of the smaller vector's bits that the larger has."""
-    bits = lambda f: sum((f(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(1, CHUNKS)), f(F.get(a, F.lit(0)), F.get(b, F.lit(0))))
-    fewer = F.least(bits(lambda x, _: F.bit_count(x)), bits(lambda _, y: F.bit_count(y)))
-    return F.try_divide(bits(lambda x, y: F.bit_count(x.bitwiseAND(y))), fewer)
+def _both(parts: list[str]) -> list[Column]:
+    """The bits that both records of a pair have."""
+    return [F.col(f"{p}_a").bitwiseAND(F.col(f"{p}_b")) for p in parts]
+
+
+def _of(parts: list[str], side: str) -> list[Column]:
+    return [F.col(f"{p}_{side}") for p in parts]
 
 
-def _dice_digits(a: Column, b: Column, length: int) -> Column:
-    """The share of places with equal digits: the Dice similarity of place-and-digit vectors."""
-    same = sum((F.when(F.substring(a, i, 1) == F.substring(b, i, 1), 1).otherwise(0) for i in range(2, length + 1)), F.when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 1).otherwise(0))
-    return F.when(a.isNotNull() & b.isNotNull(), same / length)
+def _dice_parts(parts: list[str]) -> Column:
+    """The Dice similarity of vectors in several parts; null where one is unknown."""
+    return 2 * _bits(_both(parts)) / (_bits(_of(parts, "a")) + _bits(_of(parts, "b")))
+
+
+def _inside(parts: list[str]) -> Column:
+    """The share of the smaller vector's bits that the larger has."""
+    return F.try_divide(_bits(_both(parts)), F.least(_bits(_of(parts, "a")), _bits(_of(parts, "b"))))
 
 
 def _level(value: Column, bounds: list[float]) -> Column:
@@ -211,16 +241,16 @@ def compare(pairs: DataFrame) -> DataFrame:
 
     Days agree up to one, as one of them may be of another zone.
     """
-    both = F.col("title_a").isNotNull() & F.col("title_b").isNotNull()
+    both = F.col("t0_a").isNotNull() & F.col("t0_b").isNotNull()
     # a title without numbers that lies within the other names a kind of thing, not a lot: it says nothing
-    bare = ((F.col("numbers_a") == 0) != (F.col("numbers_b") == 0)) & (_inside("title_a", "title_b") >= 0.95)
-    title = F.when(both & ~bare, _dice_chunks(F.col("title_a"), F.col("title_b")))
+    bare = ((F.col("numbers_a") == 0) != (F.col("numbers_b") == 0)) & (_inside(TITLE) >= 0.95)
+    title = F.when(both & ~bare, _dice_parts(TITLE))
     numbers = F.when(both & (F.col("numbers_a") != 0) & (F.col("numbers_b") != 0), _dice(F.col("numbers_a"), F.col("numbers_b")))
     near = F.least("amount_a", "amount_b") / F.greatest("amount_a", "amount_b")
     amount = F.when(F.col("amount_a").isNotNull() & F.col("amount_b").isNotNull(), near)
-    cpv = F.when(F.col("cpv_a").isNotNull() & F.col("cpv_b").isNotNull(), _dice_digits(F.substring("cpv_a", 1, 3), F.substring("cpv_b", 1, 3), 3))
+    cpv = _dice(F.col("cpv_a"), F.col("cpv_b"))
     when = F.when(F.col("day_a").isNotNull() & F.col("day_b").isNotNull(), F.when(F.abs(F.col("day_a") - F.col("day_b")) <= 1, 1.0).otherwise(0.0))
-    found = {"title": title, "numbers": numbers, "code": _dice_digits(F.col("code_a"), F.col("code_b"), 11), "amount": amount, "cpv": cpv, "day": when}
+    found = {"title": title, "numbers": numbers, "code": _dice_parts(CODE), "amount": amount, "cpv": cpv, "day": when}
     return pairs.select("id_a", "id_b", *[v.cast("double").alias(k) for k, v in found.items()])
 
 
@@ -272,7 +302,7 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
     ka = a.select(F.col("id").alias("id_a"), F.explode(buckets(around=True)).alias("key"))
     kb = b.select(F.col("id").alias("id_b"), F.explode(buckets(around=False)).alias("key"))
     met = ka.join(kb, "key").select("id_a", "id_b").distinct()
-    fields = ["title", "numbers", "code", "amount", "cpv", "day"]
+    fields = [*TITLE, "numbers", *CODE, "amount", "cpv", "day"]
     pairs = met.join(a.select(F.col("id").alias("id_a"), *[F.col(f).alias(f"{f}_a") for f in fields]), "id_a").join(
         b.select(F.col("id").alias("id_b"), *[F.col(f).alias(f"{f}_b") for f in fields]), "id_b"
     )
@@ -284,7 +314,7 @@ def match(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
     table = spark.createDataFrame(rows, ", ".join(f"{f} int" for f in BOUNDS) + ", odds double")
     found = levels.join(F.broadcast(table), list(BOUNDS)).select("id_a", "id_b", "odds").distinct().checkpoint()
     # a record describes one thing: what a pair claims is shared with its rivals, of which equal ones count once
-    said = F.xxhash64("title", "numbers", "code", "amount", "cpv", "day")
+    said = F.xxhash64(*fields)
     told = found.join(a.select(F.col("id").alias("id_a"), said.alias("said_a")).distinct(), "id_a").join(b.select(F.col("id").alias("id_b"), said.alias("said_b")).distinct(), "id_b")
     claims = lambda own, other: told.groupBy(own, other).agg(F.max("odds").alias("odds")).groupBy(own).agg(F.sum("odds").alias(f"of_{own}"))
     whole = found.join(claims("id_a", "said_b"), "id_a").join(claims("id_b", "said_a"), "id_b")
