@@ -127,9 +127,8 @@ def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
     full = bins.groupBy("container_id").agg((F.max(F.col("used") - F.col("capacity_tokens")) <= 0).alias("within"), F.sum("used").alias("tokens"), (F.sum("used") / F.sum("capacity_tokens") > 0.93).alias("dense"))
     texts = placed.groupBy("container_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("size")).join(F.broadcast(kinds), "container_id")
     whole = texts.groupBy("container_id").agg((F.max(F.col("pieces") - F.ceil(F.col("size") / F.col("capacity_tokens"))) <= 0).alias("undivided"), F.count("*").alias("texts"))
-    total = sizes.agg(F.sum("tokens").alias("all"))
-    joined = full.join(whole, "container_id").join(F.broadcast(total), F.lit(True))  # one row of totals
-    return joined.select("container_id", "within", "dense", "undivided", "texts", (F.col("tokens") == F.col("all")).alias("complete"))
+    total = sizes.agg(F.sum("tokens")).first()[0] or 0
+    return full.join(whole, "container_id").select("container_id", "within", "dense", "undivided", "texts", (F.col("tokens") == total).alias("complete"))
 
 
 def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
