@@ -57,8 +57,15 @@ def _literal(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
-    """(value, end) of each token: numbers, names, strings as bytes, and anything else as an operator."""
-    while m := _TOKEN.match(data, at):
+    """(value, end) of each token: numbers, names, strings as bytes, and anything else as an operator.
+
+    Signs that belong to nothing are passed over.
+    """
+    while at < len(data):
+        m = _TOKEN.match(data, at)
+        if not m:
+            at += 1
+            continue
         t, at = m.group(1), m.end()
         if t == b"(":
             value, at = _literal(data, at)

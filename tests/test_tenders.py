@@ -365,5 +365,7 @@ def test_pdf_objects_in_streams_and_failures():
     assert extract.extract("x.pdf", "", bad)[0].status == "damaged"
     unmapped = _objects(CATALOG[0], b"<</Type /Pages /Kids [3 0 R]>>", b"<</Type /Page /Contents 4 0 R /Resources <</Font <</F 5 0 R>>>>>>", _stream(b"BT /F 9 Tf <0001> Tj ET"), b"<</Subtype /Type0>>")
     assert extract.extract("x.pdf", "", unmapped)[0].status == "no-text-layer"
+    stray = _objects(CATALOG[0], b"<</Type /Pages /Kids [3 0 R]>>", b"<</Type /Page /Contents 4 0 R>>", _stream(b"BT ) > (kept) Tj ET"))
+    assert extract.extract("x.pdf", "", stray)[0].text == "kept"
     for junk in (b"%PDF-1.4\n1 0 obj (", b"%PDF-1.4\n1 0 obj << /A [ 1 2", b"%PDF-", b"%PDF-1.4 9 0 obj << /Type /Pages /Kids [9 0 R] >> endobj"):
         assert extract.extract("x.pdf", "", junk)[0].status == "damaged"
