@@ -17,8 +17,9 @@ below ``CHUNKS`` agree in a whole chunk, so
 Chunks are never looked up alone, so buckets stay small however many records one buyer has.
 
 The Dice similarities of the vectors of each pair met, of amounts their ratio, are reduced to levels, and
-a two-class mixture fitted by EM to the counts of level patterns over all pairs gives each field's
-weight and each pattern's probability of being a match. A record's rivals then share its confidence.
+a mixture fitted by EM to the counts of level patterns over all pairs gives each field's weight and
+each pattern's probability of being a match; pairs alike by chance have a class for each kind of bucket.
+A record's rivals then share its confidence.
 """
 
 from __future__ import annotations
@@ -254,11 +255,21 @@ def compare(pairs: DataFrame) -> DataFrame:
     return pairs.select("id_a", "id_b", *[v.cast("double").alias(k) for k, v in found.items()])
 
 
+#: The fields that agree in the pairs of each kind of bucket, in the order of :func:`buckets`.
+MET = [("code", "amount", "cpv"), ("amount", "day", "cpv"), ("amount", "day", "code"), ("amount", "title"), ("code", "title"), ("title", "numbers"), ("day", "title")]
+#: The part of a kind's fields outside its bucket that is taken from all kinds together: a rare kind says little by itself.
+_POOLED = 0.05
+
+
 def calibrate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[dict[tuple[int, ...], float], dict[str, list[float]]]:
     """The match probability of each level pattern, and each field's weight by level.
 
-    Two classes of independent fields, fitted by EM to the patterns' counts; unknown levels (-1)
-    say nothing. It starts from classes told apart by the sum of the levels.
+    Classes of independent fields, fitted by EM to the patterns' counts; unknown levels (-1) say
+    nothing. One class holds the matches. Pairs alike by chance have one for each kind of bucket
+    (``MET``): they were met because its fields agree, and the others don't follow from that. In a single
+    class the fields of all buckets would seem to agree by chance, each by itself, and to say little, the
+    less the more pairs there are by chance: their number grows with the square of the records.
+    It starts from matches told by the sum of the levels, and kinds by their fields' levels.
     """
     fields = list(BOUNDS)
     sizes = [len(BOUNDS[f]) + 1 for f in fields]
@@ -268,24 +279,29 @@ def calibrate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) ->
     known = (x >= 0).sum(axis=1)
     score = np.where(known > 0, np.nansum(share, axis=1) / np.maximum(known, 1), 0.0)
     match = np.where((score > 0.85) & (known >= 3), 0.95, 0.02)
+    agreed = np.where(x >= 0, share, 0.05)
+    chance = np.stack([agreed[:, [fields.index(f) for f in kind]].prod(axis=1) for kind in MET], axis=1) + 1e-3
+    member = np.column_stack([match, (1 - match)[:, None] * chance / chance.sum(axis=1, keepdims=True)])
     tables: list[np.ndarray] = []
+    prior = np.full(member.shape[1], 1 / member.shape[1])
     for _ in range(rounds):
-        prior = np.clip((n * match).sum() / max(n.sum(), 1.0), 1e-6, 1 - 1e-6)
-        logs = np.full(len(x), math.log(prior / (1 - prior)))
+        weight = n[:, None] * member
+        prior = np.maximum(weight.sum(axis=0), 1e-6)
+        prior /= prior.sum()
+        logs = np.tile(np.log(prior), (len(x), 1))
         tables = []
         for f, size in enumerate(sizes):
-            m, u = np.full(size, 0.5), np.full(size, 0.5)
-            for level in range(size):
-                at = x[:, f] == level
-                m[level] += (n * match)[at].sum()
-                u[level] += (n * (1 - match))[at].sum()
-            if f == "amount":
-                m[0] = min(m[0], 1e-4 * m.sum())  # one lot has one amount: only its writing differs
-            table = np.log(m / m.sum()) - np.log(u / u.sum())
-            tables.append(table)
-            logs += np.where(x[:, f] >= 0, table[np.maximum(x[:, f], 0)], 0.0)
-        match = 1 / (1 + np.exp(-np.clip(logs, -40, 40)))
-    return {tuple(p): float(c) for p, c in zip(x.tolist(), match, strict=True)}, {f: t.tolist() for f, t in zip(fields, tables, strict=True)}
+            table = np.stack([weight[x[:, f] == level].sum(axis=0) for level in range(size)])
+            outside = [k + 1 for k, kind in enumerate(MET) if fields[f] not in kind]
+            pooled = table[:, outside].sum(axis=1, keepdims=True)
+            table[:, outside] += _POOLED / (1 - _POOLED) * pooled / max(pooled.sum(), 1e-9) * table[:, outside].sum(axis=0)
+            table += 0.5
+            tables.append(table / table.sum(axis=0))
+            logs += np.where((x[:, f] >= 0)[:, None], np.log(tables[-1])[np.maximum(x[:, f], 0)], 0.0)
+        member = np.exp(logs - logs.max(axis=1, keepdims=True))
+        member /= member.sum(axis=1, keepdims=True)
+    weights = {f: np.log(t[:, 0] / (t[:, 1:] @ prior[1:] / prior[1:].sum())).tolist() for f, t in zip(fields, tables, strict=True)}
+    return {tuple(p): float(c) for p, c in zip(x.tolist(), member[:, 0], strict=True)}, weights
 
 
 def match(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:

@@ -274,6 +274,26 @@ def test_confidences_are_calibrated(spark):
     assert all(abs(c - s) < 0.15 for c, s, n in table.values() if n >= 30)
 
 
+def test_matches_are_told_from_any_number_of_chance_pairs():
+    """Pairs alike by chance, in which the fields of one kind of bucket agree, grow with the square of the records."""
+    alike = {"title": [0.01, 0.01, 0.02, 0.06, 0.9], "numbers": [0.01, 0.01, 0.01, 0.97], "code": [0.01, 0.05, 0.94], "amount": [0, 0.03, 0.1, 0.87], "cpv": [0.02, 0.03, 0.95], "day": [0.02, 0.98]}
+    apart = {"title": [0.75, 0.2, 0.05, 0, 0], "numbers": [0.9, 0.07, 0, 0.03], "code": [0.97, 0.001, 0.029], "amount": [0.99, 0.007, 0.002, 0.001], "cpv": [0.6, 0.3, 0.1], "day": [0.997, 0.003]}
+    near = {"title": [0.1, 0.45, 0.41, 0.03, 0.01], "amount": [0, 0.65, 0.28, 0.07]}
+    known = {"title": 0.9, "numbers": 0.8, "code": 0.85, "amount": 0.8, "cpv": 0.95, "day": 0.6}
+    fields = list(linking.BOUNDS)
+    shares = lambda of: {p: np.prod([1 - known[f] if k < 0 else known[f] * of[f][k] for f, k in zip(fields, p, strict=True)]) for p in itertools.product(*[range(-1, len(alike[f])) for f in fields])}
+    true = shares(alike)
+    kinds = [("code", "amount", "cpv"), ("amount", "day", "cpv"), ("amount", "day", "code"), ("amount", "title"), ("code", "title"), ("title", "numbers"), ("day", "title")]
+    chance = [shares(apart | {f: alike[f] if "numbers" in kind else near.get(f, alike[f]) for f in kind}) for kind in kinds]
+    for times in (1, 20, 400):
+        counts = [(p, 50_000 * t, 50_000 * times / len(kinds) * sum(c[p] for c in chance)) for p, t in true.items()]
+        confidence, _ = linking.calibrate([(p, a + b) for p, a, b in counts if a + b > 0.01])
+        kept = [(a, b) for p, a, b in counts if confidence.get(p, 0) >= 0.7]
+        best = sum(a for _, a, b in counts if a >= 0.7 * (a + b))
+        print("chance pairs a match", times, "recall", sum(a for a, _ in kept) / 50_000, "at best", best / 50_000)
+        assert sum(a for a, _ in kept) >= 0.98 * best and sum(b for _, b in kept) <= 0.03 * sum(a for a, _ in kept)
+
+
 def _meet(spark, left, right):
     columns = "id long, title string, code string, amount double, cpv string, date string"
     a = linking.encode(spark.createDataFrame([(1, *left)], columns)).select(F.explode(linking.buckets(around=True)).alias("key"))
