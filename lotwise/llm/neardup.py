@@ -9,7 +9,7 @@ in the prefixes of very many groups is joined block by block.
 Two texts whose shingles have a Jaccard similarity s share about 2s / (1 + s) of their hashes; with
 eight keys the chance that a pair of a small family shares none is about 2e-4 at s = 0.5 and below 1e-6
 at 0.7. In large families members differ in which hashes are the rarest and more pairs share none: so
-versions of the same third text, of a few that each text was found alike, are compared as well.
+versions of the same third text are compared as well, until no more are found.
 
 ``exact=True`` loses no pair: the sets are then all words of the texts, and the prefixes as long as
 the difference allowed by :func:`same_text` demands. Words are far more frequent than shingles, so it
@@ -46,8 +46,6 @@ _WORD = 3
 _SLACK = 4.6
 #: Texts of which a list is sent to all tasks.
 _LISTED = 1_000_000
-#: Versions of a text by which its other versions are met.
-_PIVOTS = 8
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> int:
@@ -209,18 +207,48 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _of_a_third(met: DataFrame) -> DataFrame:
-    """Pairs not met whose texts were both found to be versions of a third: one of the first ``_PIVOTS`` of each."""
-    columns = ["src", "class_a", "id_a", "class_b", "id_b"]
+def _families(ends: DataFrame) -> DataFrame:
+    """(src, class, family) of linked texts, links given both ways: the smallest class to which links lead."""
+    found = ends.groupBy("src", F.col("class_a").alias("class")).agg(F.least(F.min("class_a"), F.min("class_b")).alias("family")).checkpoint()
+    while True:
+        beside = found.select("src", F.col("class").alias("class_b"), "family")
+        near = ends.join(beside, ["src", "class_b"]).groupBy("src", F.col("class_a").alias("class")).agg(F.min("family").alias("near"))
+        lower = found.join(near, ["src", "class"]).withColumn("near", F.least("family", "near"))
+        # a family's own family halves the way
+        top = found.select("src", F.col("class").alias("near"), F.col("family").alias("top"))
+        moved = lower.join(top, ["src", "near"]).select("src", "class", F.col("top").alias("family"), (F.col("top") != F.col("family")).alias("moved")).checkpoint()
+        found = moved.select("src", "class", "family")
+        if moved.filter("moved").isEmpty():
+            return found
+
+
+def _of_a_third(met: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """All pairs neither met nor ``tried`` whose texts were both found to be versions of a third, and perhaps more.
+
+    Of a family with more pairs by way of thirds than pairs at all, each pair not met is given.
+    """
+    columns, pair = ["src", "class_a", "id_a", "class_b", "id_b"], ["src", "class_a", "class_b"]
     there = met.select(*columns)
-    ends = there.unionByName(there.select("src", F.col("class_b").alias("class_a"), F.col("id_b").alias("id_a"), F.col("class_a").alias("class_b"), F.col("id_a").alias("id_b")))
-    first = F.row_number().over(Window.partitionBy("src", "class_a").orderBy("class_b"))
-    by = ends.dropDuplicates(["src", "class_a", "class_b"]).withColumn("place", first).filter(F.col("place") <= _PIVOTS)
-    x = by.select("src", F.col("class_b").alias("pivot"), "class_a", "id_a")
-    y = by.select("src", F.col("class_b").alias("pivot"), F.col("class_a").alias("class_b"), F.col("id_a").alias("id_b"))
-    both = x.join(y, ["src", "pivot"]).filter("class_a < class_b").select(*columns).dropDuplicates(["src", "class_a", "class_b"])
-    known = there.select("src", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
-    return both.join(known, ["src", "class_a", "class_b"], "left_anti").select(*columns)
+    turned = there.select("src", F.col("class_b").alias("class_a"), F.col("id_b").alias("id_a"), F.col("class_a").alias("class_b"), F.col("id_a").alias("id_b"))
+    ends = there.unionByName(turned).dropDuplicates(pair)
+    degrees = ends.groupBy("src", F.col("class_a").alias("class")).agg(F.min("id_a").alias("id"), F.count("*").alias("links"))
+    nodes = degrees.join(_families(ends), ["src", "class"])
+    size = F.count("*")
+    by_thirds = F.sum(F.col("links") * F.col("links"))
+    kinds = nodes.groupBy("src", "family").agg(size.alias("size"), (size * size <= by_thirds).alias("close"), (F.sum("links") < size * (size - 1)).alias("open"))
+    placed = nodes.join(kinds.filter("open").drop("open"), ["src", "family"]).checkpoint()
+    # a large family is joined block by block
+    close = placed.filter("close").withColumn("blocks", F.ceil(F.col("size") / _HOT).cast("int"))
+    x = close.select("src", "family", F.col("class").alias("class_a"), F.col("id").alias("id_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    y = close.select("src", "family", F.col("class").alias("class_b"), F.col("id").alias("id_b"), F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
+    inside = x.join(y, ["src", "family", "block"]).filter("class_a < class_b").select(*columns)
+    loose = ends.join(placed.filter("not close").select("src", F.col("class").alias("class_a")), ["src", "class_a"], "left_semi")
+    x = loose.select("src", F.col("class_b").alias("pivot"), "class_a", "id_a")
+    y = loose.select("src", F.col("class_b").alias("pivot"), F.col("class_a").alias("class_b"), F.col("id_a").alias("id_b"))
+    across = x.join(y, ["src", "pivot"]).filter("class_a < class_b").select(*columns).dropDuplicates(pair)
+    known = there.select(*pair) if tried is None else there.select(*pair).unionByName(tried.select(*pair))
+    known = known.select("src", F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"))
+    return inside.unionByName(across).join(known, pair, "left_anti").select(*columns)
 
 
 def _verified(some: DataFrame, pairs: DataFrame, share: float, least: int, shingle: float) -> DataFrame:
@@ -291,9 +319,12 @@ def versions(texts: DataFrame, sample: int = 24, keys: int = 8, share: float = 0
     pairs = across.join(left, "a").join(right, ["b", "src"]).select(*columns).unionByName(within.select(*columns)).checkpoint()
 
     met = _verified(some, pairs, share, least, shingle).checkpoint()
-    more = _of_a_third(met).checkpoint()
-    if not more.isEmpty():
-        met = met.unionByName(_verified(some, more, share, least, shingle))
+    tried = pairs
+    while not (more := _of_a_third(met, tried).checkpoint()).isEmpty():
+        found = _verified(some, more, share, least, shingle).checkpoint()
+        if found.isEmpty():
+            break
+        met, tried = met.unionByName(found), tried.unionByName(more)
     return met.select("src", F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct(), members
 
 

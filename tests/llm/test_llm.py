@@ -81,6 +81,17 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
     assert neardup.pairs(df).count() == 150 * 149 // 2
 
 
+def test_all_versions_of_a_third_are_compared(spark):
+    links = {(1, k) for k in [*range(11, 20), 99]} | {(2, k) for k in [*range(21, 30), 99]}  # 99 is the last of many for both
+    family = set(itertools.combinations(range(200, 230), 2))
+    gone = {(200, 229), (203, 204), (210, 228)}
+    rows = [("a", a, a, b, b) for a, b in links | (family - gone) | {(300, 301)}]
+    more = neardup._of_a_third(spark.createDataFrame(rows, "src string, class_a long, id_a long, class_b long, id_b long")).collect()
+    got = {(r.class_a, r.class_b) for r in more}
+    thirds = {(a, b) for (a, x), (b, y) in itertools.permutations(links, 2) if a < b and x == y} | {(x, y) for (a, x), (b, y) in itertools.permutations(links, 2) if a == b and x < y}
+    assert got == thirds | gone and len(more) == len(got) and (1, 2) in got
+
+
 def _short_texts(pairs, seed):
     """Pairs of versions of texts of 20 to 60 words, two or three words edited in each, among texts of a common vocabulary."""
     rng = random.Random(seed)
